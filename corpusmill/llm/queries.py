@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, leak, mojibake, repetition
+from corpusmill.llm import encoding, leak, mojibake, quality, repetition, scans
 from corpusmill.plans.tables import table
+from corpusmill.scratch import Scratch
 
 #: Where a segment comes from: the paper, which begins the issue's name, and the kind of segment.
 _NEWS_GROUP = ["paper", "kind"]
@@ -26,6 +27,63 @@ def _over(shares: DataFrame, group: list[str]) -> DataFrame:
     return repetition.over_threshold(shares, limits, group)
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of books and segments of papers but titles; the group of a segment is its paper."""
+    books = table(spark, sf_dir, "scan_records").select(F.lit("scan_records").alias("tab"), "rec_id", F.col("file_name").alias("grp"), "title", "text")
+    news = table(spark, sf_dir, "news_segments").where(~F.lower(F.coalesce("seg_class", F.lit(""))).eqNullSafe("title"))
+    papers = news.select(F.lit("news_segments").alias("tab"), F.col("seg_id").alias("rec_id"), F.substring_index("issue_id", "-", 1).alias("grp"), F.lit(None).cast("string").alias("title"), F.col("content").alias("text"))
+    return books.union(papers).where("rec_id is not null")
+
+
+def _structure(spark: SparkSession, sf_dir: str, scratch: Scratch, tabs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``tab``, ``rec_id``, ``n_tokens``, ``probability`` for the tables' records; the texts are read once."""
+    stats = None
+    for tab, (key, text) in tabs.items():
+        rows = table(spark, sf_dir, tab).select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), F.col(text).alias("text")).where("rec_id is not null")
+        part = quality.text_statistics(rows, ["tab", "rec_id"], "text")
+        stats = part if stats is None else stats.union(part)
+    stats = scratch.save(stats)
+    model = quality.train(stats, table(spark, sf_dir, "quality_labels"))
+    return quality.structure_probability(stats, model)
+
+
+def _cases(probability: DataFrame) -> DataFrame:
+    return probability.where("n_tokens >= 12 and probability >= 0.5").select("tab", "rec_id").distinct()
+
+
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def p5_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _structure(spark, sf_dir, Scratch(spark, "quality"), {"documents": ("doc_id", "text"), "news_segments": ("seg_id", "content")})
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(p5_probability(spark, sf_dir))
+
+
+def _noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, scans.Editor]:
+    """Pages, what was read on them, their furniture, and the editor."""
+    scratch = Scratch(spark, "scans")
+    pages = _pages(spark, sf_dir)
+    editor = scans.train_editor(scratch.save(scans.word_counts(pages)))
+    read = scratch.save(scans.read_pages(pages, editor))
+    rows = scratch.save(scans.furniture_rows(read))
+    return pages, read, scans.classify_lines(rows, scans.train_furniture(rows)), editor
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, read, furniture, _ = _noise(spark, sf_dir)
+    structure = _cases(_structure(spark, sf_dir, Scratch(spark, "quality"), {"news_segments": ("seg_id", "content")}))
+    return scans.noise_kinds(read, furniture).join(structure, ["tab", "rec_id"], "left_anti")
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, _, furniture, editor = _noise(spark, sf_dir)
+    return scans.repair_pages(pages, furniture, editor)
+
+
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _news_shares(spark, sf_dir).select("seg_id", "n_words", "n_repeated")
 
@@ -65,7 +123,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_removed, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_removed, p10_found, p10_restored)}
 
 _SHARES = """
 WITH last AS (SELECT seg_id, content, row_number() OVER (PARTITION BY seg_id ORDER BY loaded_at DESC NULLS LAST) AS k FROM news_segments WHERE seg_id IS NOT NULL),
