@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import records
+from corpusmill.plans import corpus, records
 
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
+QUERIES = {**records.QUERIES, **corpus.QUERIES}
+SQL = {**records.SQL, **corpus.SQL}
