@@ -18,13 +18,13 @@ from corpusmill.functions.paths import DATA_ROOT, same_file
 from corpusmill.scratch import Scratch
 
 
-def _shifted_start(vertex, seed: int, beta: float, radius: int):
-    u = (F.shiftrightunsigned(F.xxhash64(vertex, F.lit(seed)), 11).cast("double") + 1.0) / float(2**53 + 1)
+def _shifted_start(vertex, draw, beta: float, radius: int):
+    u = (F.shiftrightunsigned(F.xxhash64(vertex, draw), 11).cast("double") + 1.0) / float(2**53 + 1)
     return F.lit(float(radius)) - F.least(-F.log(u) / beta, F.lit(float(radius)))
 
 
 def connected_groups(
-    edges: DataFrame, scratch: Scratch, beta: float = 0.35, radius: int = 4, max_rounds: int = 200
+    edges: DataFrame, scratch: Scratch, beta: float = 0.6, radius: int = 2, max_rounds: int = 200
 ) -> DataFrame:
     """Groups of an undirected graph.
 
@@ -33,14 +33,15 @@ def connected_groups(
         smallest id of the group. An empty table gives an empty one.
     """
     plain = edges.select("a", "b").where("a <> b")
-    live = scratch.save(plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = scratch.save(plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("draw")).distinct())
     maps: list[DataFrame] = []
-    for seed in range(max_rounds):
+    # The round's number is a column, so that all rounds have the same plan and its code is compiled once.
+    for _ in range(max_rounds):
         if live.limit(1).count() == 0:
             break
-        both = live.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(live.select("b", "a"))
-        reach = both.groupBy(F.col("src").alias("id")).agg(F.lit(1).alias("one")).select(
-            "id", F.struct(_shifted_start(F.col("id"), seed, beta, radius).alias("t"), F.col("id").alias("c")).alias("r")
+        both = live.select(F.col("a").alias("src"), F.col("b").alias("dst"), "draw").union(live.select("b", "a", "draw"))
+        reach = both.groupBy(F.col("src").alias("id")).agg(F.max("draw").alias("draw")).select(
+            "id", F.struct(_shifted_start(F.col("id"), F.col("draw"), beta, radius).alias("t"), F.col("id").alias("c")).alias("r")
         )
         for _ in range(radius):
             sent = both.join(reach, both.src == reach.id).select(
@@ -52,7 +53,7 @@ def connected_groups(
         at_a, at_b = (step.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
         nxt = scratch.save(
             live.join(at_a, "a").join(at_b, "b").where("ca <> cb")
-            .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+            .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("draw") + 1).alias("draw")).distinct()
         )
         scratch.drop(live)
         live = nxt
