@@ -28,7 +28,7 @@ def source_of(path: Column, root: str) -> Column:
 def text_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """``path``, ``source``, ``text`` of all text files below the root; bad bytes become U+FFFD."""
     require_folder(root)
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("path"), source_of(path, root).alias("source"), F.col("value").alias("text"))
 
@@ -61,7 +61,7 @@ def first_files(files: DataFrame) -> DataFrame:
 def json_records(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """``file_name``, ``rec_idx`` and the fields of JSONL records, in the order of their lines; blank lines are skipped."""
     require_folder(root)
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
     lines = files.select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\r?\n")).alias("rec_idx", "line"))
     return lines.where(F.trim("line") != "").select("file_name", "rec_idx", F.from_json("line", schema).alias("r")).select("file_name", "rec_idx", "r.*")
 

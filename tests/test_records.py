@@ -1,0 +1,140 @@
+"""Groups, survivors, bin packing and cross-split overlaps against brute force, with odd rows."""
+
+import datetime as dt
+import itertools
+import random
+
+import pytest
+
+from corpusmill.functions.paths import same_file
+from corpusmill.operators import binpack, components, crosssplit, survivors
+from corpusmill.scratch import Scratch
+
+DOCS = "doc_id bigint, path string, source string, chars bigint, simhash bigint, sha1 string, title string, author_name string, pub_year int, hashed_at timestamp"
+T = [dt.datetime(2025, 1, d) for d in range(1, 9)]
+
+
+def test_path_spellings(spark):
+    same = ["./s/A.txt", "s/a.txt", "/data/train_data/s/a.txt", ".\\s\\a.txt", "s//a.txt", " ./s/a.txt ", "./s/./a.txt"]
+    df = spark.createDataFrame([(p,) for p in [*same, None, "  "]], "path string")
+    assert {r[0] for r in df.select(same_file(df.path)).collect()} == {"s/a.txt", None}
+
+
+def test_groups_of_a_long_chain_and_odd_edges(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 5), (3, 5), (7, 7), (9, None), (None, 2), (4, 5)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r.id: r.group_id for r in components.connected_groups(df, Scratch(spark, "t")).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 4: 3, 5: 3}
+    assert components.connected_groups(df.where("false"), Scratch(spark, "t")).collect() == []
+
+
+def test_matches_with_null_and_unknown_paths(spark):
+    docs = spark.createDataFrame([(2, "s/b.txt"), (1, "./s/A.txt"), (3, None)], "doc_id bigint, path string")
+    m = spark.createDataFrame([("s/a.txt", "S//b.txt"), (None, "s/b.txt"), ("s/none.txt", "s/a.txt"), ("s/a.txt", "s/a.txt")], "path_a string, path_b string")
+    assert sorted(map(tuple, components.match_groups(m, docs, Scratch(spark, "t")).collect())) == [(1, 1), (2, 1)]
+
+
+def test_survivor_takes_latest_positive_size_and_best_fields(spark):
+    rows = [
+        (1, "s/1", "blbooks", 10, 1, "x", None, "A", None, T[0]), (1, "s/1", "blbooks", -1, 1, "x", " ", "A", 1800, T[3]),
+        (2, "s/2", "gutenberg", 10, 2, "y", "Title", None, None, T[1]), (2, "s/2", "gutenberg", 10, 2, "y", "Title", None, None, T[1]),
+        (3, "s/3", None, 0, 3, "z", None, None, None, T[2]), (4, "s/4", None, None, 3, "z", None, None, None, None),
+    ]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], DOCS + ", group_name int")
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "doc_id bigint, group_id bigint")
+    assert [tuple(r) for r in survivors.survivors(groups, docs).collect()] == [(1, 1)]  # equal sizes: the smaller id
+    gold = {r.group_id: r for r in survivors.golden_records(groups, docs).collect()}
+    assert (gold[1].doc_id, gold[1].chars, gold[1].title, gold[1].author_name, gold[1].pub_year, gold[1].path) == (1, 10, "Title", "A", 1800, "s/2")
+    assert (gold[3].doc_id, gold[3].n_records, gold[3].title) == (None, 2, None)
+    assert survivors.survivors(groups.where("false"), docs).collect() == []
+
+
+def test_fullest_is_the_best_subset():
+    rng = random.Random(2)
+    for _ in range(200):
+        items = [rng.randint(1, 12) for _ in range(rng.randint(0, 7))]
+        room = rng.randint(0, 30)
+        counts = {n: items.count(n) for n in items}
+        best = max(sum(c) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= room)
+        got = binpack.fullest(counts, room)
+        assert sum(n * k for n, k in got) == best and all(k <= counts[n] for n, k in got)
+
+
+def test_packing_keeps_every_id_once(spark):
+    rows = [(i, [i] * n, "n") for i, n in enumerate([3, 10, 7, 25, 1, 1, 6, 10, 4], 1)] + [(20, None, "n"), (21, [], "n"), (None, [1], "n"), (2, [2] * 10, "n")]
+    df = spark.createDataFrame(rows, "seq_id bigint, input_ids array<int>, piece string")
+    out = binpack.pack_rows(df, 10).collect()
+    assert all(r.n_ids == len(r.input_ids) <= 10 for r in out)
+    flat = sorted(x for r in out for x in r.input_ids)
+    assert flat == sorted(x for i, n in enumerate([3, 10, 7, 25, 1, 1, 6, 10, 4], 1) for x in [i] * n)
+    whole = {k: [r.row_id for r in out if k in r["keys"]] for k in range(1, 10)}
+    assert all(len(v) == 1 for k, v in whole.items() if k != 4) and len(whole[4]) == 3
+    assert len(out) == 7
+    assert binpack.pack_rows(df.where("false"), 10).collect() == []
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_banded_table_equals_the_full_one():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = [rng.randint(0, 5) for _ in range(rng.randint(1, 30))]
+        b = [x for x in a if rng.random() > 0.15] + [rng.randint(0, 5) for _ in range(rng.randint(0, 3))]
+        need = rng.randint(1, 30)
+        full = _lcs(a, b)
+        assert crosssplit._lcs_at_least(a, b, need) == (full if full >= need else 0)
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocab, k=rng.choice([8, 25, 60, 120, 300]))) for _ in range(30)]
+    rows, val = [], []
+    for i, t in enumerate(texts):
+        rows.append((i, f"s/{i}.txt", t))
+        val.append((f"./S/{i}.txt", "val" if i % 2 else "test"))
+        w = t.split()
+        for k, rate in enumerate((0.0, 0.05, 0.12, 0.3)):
+            v = [rng.choice(vocab) if rng.random() < rate else x for x in w]
+            half = "th-\nird " if k == 1 and i == 0 else ""
+            rows.append((100 + 10 * i + k, f"s/t{i}-{k}.txt", half + "; ".join(v).upper()))
+    rows += [(900, None, None), (901, "s/e.txt", ""), (902, "s/b.txt", "  \n"), (903, "s/x.txt", "***"), (904, "s/y.txt", "***"), (None, "s/n.txt", "a b"), (0, "s/0.txt", texts[0])]
+    val += [("s/x.txt", "val"), ("s/x.txt", "test"), ("s/b.txt", "val"), (None, "val"), ("s/none.txt", "val")]
+    docs = spark.createDataFrame([(*r, "e") for r in rows], "doc_id bigint, path string, text string, split string")
+    got = crosssplit.cross_split_pairs(docs, spark.createDataFrame(val, "path string, split string"), Scratch(spark, "t"), filter_bits=20).collect()
+    from corpusmill.functions.words import words
+
+    want = set()
+    for i, t in enumerate(texts):
+        a = words(t)
+        for d, _, u in rows:
+            if d is not None and 100 <= d < 900 and u:
+                b = words(u)
+                if _lcs(a, b) >= 0.8 * max(len(a), len(b)):
+                    want.add((i, d))
+    want.add((903, 904))
+    assert {(r.val_id, r.train_id) for r in got} == want and len(got) == len(want)
+    assert {r.split for r in got if r.val_id == 903} == {"both"}
+
+
+def test_overlaps_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, path string, text string")
+    val = spark.createDataFrame([], "path string, split string")
+    assert crosssplit.cross_split_pairs(docs, val, Scratch(spark, "t"), filter_bits=20).collect() == []
+
+
+@pytest.mark.parametrize("bits", [10, 20])
+def test_filter_has_all_its_keys(spark, bits):
+    import numpy as np
+
+    f = crosssplit._filter_of(spark.range(500), "id", bits)
+    assert f.has(np.arange(500)).all()
