@@ -26,7 +26,7 @@ class _Hashes(dict):
         return h
 
 
-_hash = _Hashes().__getitem__
+word_hash = _Hashes().__getitem__
 
 
 def words(text: str, join_divided: bool = True) -> list[str]:
@@ -42,7 +42,7 @@ def batch_hashes(texts: list[str | None], join_divided: bool = True) -> tuple[np
     ends = [0]
     for t in texts:
         if t:
-            flat.extend(map(_hash, words(t, join_divided)))
+            flat.extend(map(word_hash, words(t, join_divided)))
         ends.append(len(flat))
     return np.array(flat, np.uint64), np.array(ends, np.int64)
 

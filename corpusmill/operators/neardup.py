@@ -6,10 +6,13 @@ one class; pairs are between representatives and classes come back with the memb
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import pystr
+from corpusmill.functions.arrow import arrow_map
+from corpusmill.functions.words import text_of_window, windows, word_hash
 from corpusmill.operators.components import connected_groups
 from corpusmill.operators.fingerprint import band_values, fingerprint, hamming, max_distance, normalize, similarity
 from corpusmill.scratch import Scratch
@@ -72,11 +75,26 @@ def candidate_pairs(prints: DataFrame, threshold: float = 0.85, n_bands: int = 4
     return left.join(right, on).where((F.col("a") < F.col("b")) & (d <= most)).select("a", "b", d.cast("bigint").alias("distance")).distinct()
 
 
-def shingles(norm: Column, n: int = 7) -> Column:
-    """Hashes of the distinct runs of ``n`` words; empty if there are fewer words."""
-    w = pystr.words(norm)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def shingles(docs: DataFrame, n: int = 7) -> DataFrame:
+    """``doc_id``, ``s``: hashes of the distinct runs of ``n`` words of the normal form; empty if there are fewer words, or none."""
+    norm = docs.select("doc_id", normalize(F.col("text")).alias("_norm"))
+
+    def run(batches):
+        for b in batches:
+            flat: list[int] = []
+            ends = [0]
+            for t in b.column("_norm").to_pylist():
+                if t:
+                    flat.extend(map(word_hash, t.split(" ")))
+                ends.append(len(flat))
+            at = np.array(ends, np.int64)
+            w = windows(np.array(flat, np.uint64), n)
+            text, inside = text_of_window(at, n)
+            both = np.unique(np.stack([text[inside], w[inside].view(np.int64)], 1), axis=0) if inside.any() else np.empty((0, 2), np.int64)
+            starts = np.searchsorted(both[:, 0], np.arange(len(at)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(both[:, 1]))], ["doc_id", "s"])
+
+    return arrow_map(norm, run, "doc_id bigint, s array<bigint>")
 
 
 def accepted(mode: str, jaccard: float, containment: float) -> Column:
@@ -98,7 +116,7 @@ def score_pairs(
     """Accepted pairs with their scores. Only texts of pairs that are similar enough get shingles."""
     near = pairs.where(similarity(F.col("distance")) >= min_similarity)
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    own = docs.join(ids, "doc_id", "left_semi").select("doc_id", shingles(normalize(F.col("text")), n).alias("s")).dropDuplicates(["doc_id"]).where(F.size("s") >= min_shingles)
+    own = shingles(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n).where(F.size("s") >= min_shingles)
     wide = near.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = wide.withColumn("_i", F.size(F.array_intersect("sa", "sb"))).withColumns({"len_shingles_a": F.size("sa").cast("bigint"), "len_shingles_b": F.size("sb").cast("bigint")})
     scored = both.select(

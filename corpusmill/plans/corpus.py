@@ -90,8 +90,7 @@ def match_statistics(spark, sf_dir):
 
 
 def shingle_counts(spark, sf_dir):
-    norm = normalize_text(spark, sf_dir)
-    return norm.select("doc_id", F.size(neardup.shingles(F.coalesce("norm", F.lit("")))).cast("bigint").alias("n_shingles"))
+    return neardup.shingles(_docs(spark, sf_dir)).select("doc_id", F.size("s").cast("bigint").alias("n_shingles"))
 
 
 def accepted_matches(spark, sf_dir):
@@ -120,10 +119,10 @@ def dedup_corpus(spark, sf_dir):
 
 
 def section_flags(spark, sf_dir):
-    parts = _docs(spark, sf_dir).select("doc_id", F.posexplode(books.sections(F.coalesce(pystr.newlines(F.col("text")), F.lit("")), "\n")).alias("at", "s"))
+    parts = _docs(spark, sf_dir).select("doc_id", F.posexplode(books.sections(F.coalesce(pystr.newlines(F.col("text")), F.lit("")), "\n")).alias("pos", "s"))
     s = F.col("s")
     return parts.select(
-        "doc_id", "at", books.is_toc_line(s).alias("toc"), books.is_chapter_line(s).alias("chapter"), books.ends_with_number(s).alias("page_number"),
+        "doc_id", "pos", books.is_toc_line(s).alias("toc"), books.is_chapter_line(s).alias("chapter"), books.ends_with_number(s).alias("page_number"),
         books.has_email(s).alias("email"), books.starts_with_roman(s).alias("roman"), pystr.isupper(s).alias("upper"),
     )
 
@@ -133,7 +132,7 @@ def _books(spark, sf_dir):
 
 
 def book_sections(spark, sf_dir):
-    return _books(spark, sf_dir).select("doc_id", F.posexplode("sections").alias("at", "section"))
+    return _books(spark, sf_dir).select("doc_id", F.posexplode("sections").alias("pos", "section"))
 
 
 def book_kept(spark, sf_dir):
@@ -299,7 +298,7 @@ _LONG = "regexp_replace(regexp_replace(replace({0}, '---', repeat(chr(57344), 3)
 _DASHED = f"replace(regexp_replace({_LONG.format('s')}, '[{WS}]?--[{WS}]?', ' -- ', 'g'), chr(57344), '-')"
 _SECTIONS = f"""raw AS (SELECT doc_id, i, {_strip("replace(s, '_', '')")} AS s FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_filter(string_split(coalesce({_BODY}, ''), chr(10)), lambda s: s <> '') AS p FROM documents))),
 dashed AS (SELECT doc_id, i, s, {_DASHED} AS d FROM raw),
-parts AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS at, array_to_string({_words("regexp_replace(d, '\\[[0-9]+\\]', '', 'g')")}, ' ') AS s
+parts AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS pos, array_to_string({_words("regexp_replace(d, '\\[[0-9]+\\]', '', 'g')")}, ' ') AS s
 FROM dashed WHERE NOT (starts_with(s, '[') AND ends_with(s, ']')) AND regexp_matches(d, '[0-9A-Za-z]') AND NOT starts_with(d, 'End of Project Gutenberg'))"""
 # RE2 has no look-ahead; a numeral is not empty and no lone dot.
 _ROMAN = books.ROMAN.replace("(?=[MDCLXVI])", "")
@@ -322,13 +321,13 @@ _F = _flags("s")
 _MODERN = " OR ".join(f"contains(s, '{w}')" for w in books.MODERN_WORDS)
 _ENDS = " OR ".join(f"starts_with(s, '{w}')" for w in books.END_KEYWORDS)
 _BOOKS = f"""WITH {_SECTIONS},
-around AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY at), '') AS nxt FROM parts),
-judged AS (SELECT *, ((at < 16 AND len({_words("s")}) < 8) OR (at < greatest(200, n // 8) AND ({" OR ".join(_F[k] for k in ("toc", "chapter", "page_number", "email", "roman"))})) OR {_F["upper"]}
+around AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY pos), '') AS nxt FROM parts),
+judged AS (SELECT *, ((pos < 16 AND len({_words("s")}) < 8) OR (pos < greatest(200, n // 8) AND ({" OR ".join(_F[k] for k in ("toc", "chapter", "page_number", "email", "roman"))})) OR {_F["upper"]}
 OR contains(s, '+----') OR contains(s, '┌') OR {_count("s", "|")} > 2 OR {_count("s", "│")} > 1) AS at_once,
-({_MODERN} OR (starts_with(s, '[') AND ends_with(s, ']')) OR (starts_with(s, '[') AND NOT contains(nxt, '[') AND ends_with(nxt, ']'))) AS later, at >= n // 3 AND ({_ENDS}) AS last_part FROM around),
-cut AS (SELECT doc_id, min(at) FILTER (last_part AND NOT at_once) AS c FROM judged GROUP BY doc_id),
-final AS (SELECT doc_id, at, s, NOT at_once AND NOT later AND at < coalesce(c, n) AS keep FROM judged JOIN cut USING (doc_id)),
-texts AS (SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY at) FILTER (keep), '') AS kept, count(*) FILTER (keep) AS n_kept, count(*) FILTER (NOT keep) AS n_rejected, coalesce(string_agg(s, chr(10) ORDER BY at) FILTER (NOT keep), '') AS rejected FROM final GROUP BY doc_id)"""
+({_MODERN} OR (starts_with(s, '[') AND ends_with(s, ']')) OR (starts_with(s, '[') AND NOT contains(nxt, '[') AND ends_with(nxt, ']'))) AS later, pos >= n // 3 AND ({_ENDS}) AS last_part FROM around),
+cut AS (SELECT doc_id, min(pos) FILTER (last_part AND NOT at_once) AS c FROM judged GROUP BY doc_id),
+final AS (SELECT doc_id, pos, s, NOT at_once AND NOT later AND pos < coalesce(c, n) AS keep FROM judged JOIN cut USING (doc_id)),
+texts AS (SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY pos) FILTER (keep), '') AS kept, count(*) FILTER (keep) AS n_kept, count(*) FILTER (NOT keep) AS n_rejected, coalesce(string_agg(s, chr(10) ORDER BY pos) FILTER (NOT keep), '') AS rejected FROM final GROUP BY doc_id)"""
 
 _SCAN_LINE = f"""SELECT rec_id, i, CASE WHEN length(r) > length(l) THEN r ELSE s END AS s FROM (SELECT *, regexp_extract(s, '^(.*?)\\b\\d{{1,3}}\\b(.*)$', 1) AS l, CASE WHEN regexp_matches(s, '\\b\\d{{1,3}}\\b') THEN regexp_extract(s, '^(.*?)\\b\\d{{1,3}}\\b(.*)$', 2) END AS r FROM lines
 WHERE NOT ({_upper(r"regexp_replace(s, '[^\p{L}\p{N}_]', '', 'g')")} OR {_count("s", "- - -")} > 1 OR {_count("s", ". . . .")} > 2))"""
@@ -386,9 +385,9 @@ SQL = {
     "dup_components": f"WITH RECURSIVE {_COMPONENTS} SELECT doc_id, component, chars, keep FROM sized",
     "keep_longest": f"WITH RECURSIVE {_COMPONENTS} SELECT component, doc_id, chars FROM sized WHERE keep",
     "dedup_corpus": f"WITH RECURSIVE {_COMPONENTS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sized WHERE NOT keep)",
-    "section_flags": f"""WITH parts AS (SELECT doc_id, unnest(p) AS s, (generate_subscripts(p, 1) - 1)::INTEGER AS at FROM (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda s: s <> '') AS p FROM documents))
-SELECT doc_id, at, {", ".join(f"{v} AS {k}" for k, v in _F.items())} FROM parts""",
-    "book_sections": f"WITH {_SECTIONS} SELECT doc_id, at, s AS section FROM parts",
+    "section_flags": f"""WITH parts AS (SELECT doc_id, unnest(p) AS s, (generate_subscripts(p, 1) - 1)::INTEGER AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda s: s <> '') AS p FROM documents))
+SELECT doc_id, pos, {", ".join(f"{v} AS {k}" for k, v in _F.items())} FROM parts""",
+    "book_sections": f"WITH {_SECTIONS} SELECT doc_id, pos, s AS section FROM parts",
     "book_kept": f"{_BOOKS} SELECT d.doc_id, coalesce(kept, '') AS kept, coalesce(n_kept >= 5 AND len({_words('kept')}) >= 200, false) AS big_enough FROM documents d LEFT JOIN texts t USING (doc_id)",
     "book_rejected": f"{_BOOKS} SELECT d.doc_id, coalesce(n_rejected, 0) AS n_rejected, coalesce(rejected, '') AS rejected FROM documents d LEFT JOIN texts t USING (doc_id)",
     "scan_clean": f"{_SCANS} SELECT r.rec_id, coalesce(clean, '') AS clean FROM rows r LEFT JOIN texts t USING (rec_id)",
