@@ -11,7 +11,9 @@ tables; nothing is gathered on the driver but the number of remaining edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import DATA_ROOT, same_file
@@ -23,8 +25,25 @@ def _shifted_start(vertex, draw, beta: float, radius: int):
     return F.lit(float(radius)) - F.least(-F.log(u) / beta, F.lit(float(radius)))
 
 
+#: Rounds of so few edges are planned once; larger ones are re-planned by Spark while they run, which splits hot keys.
+SMALL = 2_000_000
+
+
+@contextmanager
+def _planned_once(spark: SparkSession, really: bool):
+    """Without re-planning each of a round's many small exchanges is no job of its own, which the driver would have to keep."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    if really:
+        spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def connected_groups(
-    edges: DataFrame, scratch: Scratch, beta: float = 0.6, radius: int = 2, max_rounds: int = 200
+    edges: DataFrame, scratch: Scratch, beta: float = 0.35, radius: int = 4, max_rounds: int = 200
 ) -> DataFrame:
     """Groups of an undirected graph.
 
@@ -35,26 +54,15 @@ def connected_groups(
     plain = edges.select("a", "b").where("a <> b")
     live = scratch.save(plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("draw")).distinct())
     maps: list[DataFrame] = []
+    n_first = live.count()
     # The round's number is a column, so that all rounds have the same plan and its code is compiled once.
     for _ in range(max_rounds):
-        if live.limit(1).count() == 0:
+        n_edges = live.count()
+        if not n_edges:
             break
-        both = live.select(F.col("a").alias("src"), F.col("b").alias("dst"), "draw").union(live.select("b", "a", "draw"))
-        reach = both.groupBy(F.col("src").alias("id")).agg(F.max("draw").alias("draw")).select(
-            "id", F.struct(_shifted_start(F.col("id"), F.col("draw"), beta, radius).alias("t"), F.col("id").alias("c")).alias("r")
-        )
-        for _ in range(radius):
-            sent = both.join(reach, both.src == reach.id).select(
-                F.col("dst").alias("id"), F.struct((F.col("r.t") + 1.0).alias("t"), F.col("r.c").alias("c")).alias("r")
-            )
-            reach = sent.union(reach).groupBy("id").agg(F.min("r").alias("r"))
-        step = scratch.save(reach.select("id", F.col("r.c").alias("c")))
+        with _planned_once(scratch.spark, n_edges <= SMALL):
+            step, nxt = _round(live, scratch, beta, radius)
         maps.append(step)
-        at_a, at_b = (step.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
-        nxt = scratch.save(
-            live.join(at_a, "a").join(at_b, "b").where("ca <> cb")
-            .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("draw") + 1).alias("draw")).distinct()
-        )
         scratch.drop(live)
         live = nxt
     else:
@@ -65,11 +73,29 @@ def connected_groups(
     for step in reversed(maps[:-1]):
         upper = whole.select(F.col("id").alias("u"), F.col("c").alias("uc"))
         whole = step.join(upper, step.c == upper.u, "left").select("id", F.coalesce("uc", "c").alias("c"))
-    whole = scratch.save(whole)
+    with _planned_once(scratch.spark, n_first <= SMALL):
+        whole = scratch.save(whole)
     least = whole.groupBy("c").agg(F.min("id").alias("group_id"))
     return whole.join(least, "c").select("id", "group_id")
 
 
+def _round(live: DataFrame, scratch: Scratch, beta: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``c``: each vertex's cluster; and the edges between clusters."""
+    both = live.select(F.col("a").alias("src"), F.col("b").alias("dst"), "draw").union(live.select("b", "a", "draw"))
+    reach = both.groupBy(F.col("src").alias("id")).agg(F.max("draw").alias("draw")).select(
+        "id", F.struct(_shifted_start(F.col("id"), F.col("draw"), beta, radius).alias("t"), F.col("id").alias("c")).alias("r")
+    )
+    for _ in range(radius):
+        sent = both.join(reach, both.src == reach.id).select(
+            F.col("dst").alias("id"), F.struct((F.col("r.t") + 1.0).alias("t"), F.col("r.c").alias("c")).alias("r")
+        )
+        reach = sent.union(reach).groupBy("id").agg(F.min("r").alias("r"))
+    step = scratch.save(reach.select("id", F.col("r.c").alias("c")))
+    at_a, at_b = (step.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+    between = live.join(at_a, "a").join(at_b, "b").where("ca <> cb")
+    return step, scratch.save(between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("draw") + 1).alias("draw")).distinct())
+
+
 def match_edges(matches: DataFrame, docs: DataFrame, data_root: str = DATA_ROOT) -> DataFrame:
     """Pairs of paths as pairs of record ids: ``a``, ``b``.
 
