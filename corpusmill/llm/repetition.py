@@ -81,9 +81,12 @@ def adaptive_thresholds(
 
 
 def over_threshold(shares: DataFrame, thresholds: DataFrame, group: list[str]) -> DataFrame:
-    """Rows whose share reaches their own group's threshold; null group values are a group of their own."""
+    """Rows whose share reaches their own group's threshold; null group values are a group of their own.
+
+    Shares and thresholds are both quotients rounded once, so a share of exactly the threshold reaches it.
+    """
     on: Column = F.lit(True)
     t = thresholds.select(*[F.col(g).alias(f"_t_{g}") for g in group], "threshold")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_t_{g}"))
-    return shares.join(F.broadcast(t) if len(group) == 0 else t, on).drop(*[f"_t_{g}" for g in group])
+    return shares.join(F.broadcast(t) if len(group) == 0 else t, on).where(F.col("share") >= F.col("threshold")).drop(*[f"_t_{g}" for g in group])

@@ -76,6 +76,14 @@ def test_adaptive_thresholds(spark):
     assert {r.source for r in repetition.over_threshold(shares, t, ["source"]).collect()} == {"x", None}
 
 
+def test_only_shares_that_reach_the_threshold_are_kept(spark):
+    rows = [(1, "x", 2, 10), (2, "x", 3, 10), (3, "x", 299, 1000), (4, "x", 90, 300), (5, None, 1, 20), (6, None, 49, 1000), (7, "y", 9, 10), (8, "x", 0, 0)]
+    shares = spark.createDataFrame([(*r, r[2] / max(r[3], 1)) for r in rows], "id bigint, source string, n_repeated bigint, n_words bigint, share double")
+    limits = spark.createDataFrame([("x", 0.3), (None, 0.05)], "source string, threshold double")
+    kept = repetition.over_threshold(shares, limits, ["source"])
+    assert sorted(r.id for r in kept.collect()) == [2, 4, 5] and kept.columns == [*shares.columns, "threshold"]
+
+
 def test_leaks_with_misread_words(spark):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(500)]
