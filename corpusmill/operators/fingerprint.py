@@ -80,25 +80,31 @@ def max_distance(threshold: float) -> int:
     return int((1 - threshold) * 64)
 
 
-def band_widths(bands: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each band from the low bits; the first bands take what is left over."""
-    if not 1 <= bands <= 64:
-        raise ValueError("1 to 64 bands")
+def band_widths(bands: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(first bit, width) of each band of the low ``bits``, from the low ones; the first bands take what is left over."""
+    if not 1 <= bands <= bits:
+        raise ValueError(f"1 to {bits} bands")
     out, at = [], 0
     for i in range(bands):
-        w = 64 // bands + (i < 64 % bands)
+        w = bits // bands + (i < bits % bands)
         out.append((at, w))
         at += w
     return out
 
 
-def band_values(simhash: Column, bands: int = 4) -> Column:
+def band_values(simhash: Column, bands: int = 4, bits: int = 64) -> Column:
     """Array of the bands' values."""
     return F.array(*[
-        F.shiftrightunsigned(simhash, at).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) for at, w in band_widths(bands)
+        F.shiftrightunsigned(simhash, at).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) for at, w in band_widths(bands, bits)
     ])
 
 
+def without_band(simhash: Column, at: int, width: int) -> Column:
+    """The 64 - ``width`` bits outside a band, moved together at the low end."""
+    low = simhash.bitwiseAND(F.lit((1 << at) - 1))
+    return low if at + width == 64 else F.shiftleft(F.shiftrightunsigned(simhash, at + width), at).bitwiseOR(low)
+
+
 def to_hex(simhash: Column) -> Column:
     return F.lower(F.lpad(F.hex(simhash), 16, "0"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.arrow import arrow_map
 from corpusmill.functions.words import text_of_window, windows, word_hash
 from corpusmill.operators.components import connected_groups
-from corpusmill.operators.fingerprint import band_values, fingerprint, hamming, max_distance, normalize, similarity
+from corpusmill.operators.fingerprint import band_values, band_widths, fingerprint, hamming, max_distance, normalize, similarity, without_band
 from corpusmill.scratch import Scratch
 
 
@@ -55,19 +55,20 @@ def candidate_pairs(prints: DataFrame, threshold: float = 0.85, n_bands: int = 4
     """``a``, ``b``, ``distance`` of representatives that share a band and are within the distance, each pair once.
 
     Buckets over ``max_bucket`` are not paired as a whole: their members share a band already, so the
-    distance lies in the other bits, and two members within it agree on one of distance + 1 parts of
-    these. They are joined on the parts too, which finds the same pairs.
+    distance lies in the bits outside it, and two members within it agree on one of distance + 1 parts
+    of these bits. They are joined on the parts too, which finds the same pairs. Where there are no more
+    such bits than the distance allows, every pair is within it and buckets are paired whole.
     """
     most = max_distance(threshold)
     banded = bands(prints, n_bands)
     sizes = bucket_sizes(banded).where("k > 1")
     live = banded.join(sizes, ["band", "band_value"])
-    small = live.where(F.col("k") <= max_bucket).select("band", "band_value", F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("part_value"), "doc_id", "simhash")
-    large = live.where(F.col("k") > max_bucket).select("band", "band_value", F.posexplode(band_values(F.col("simhash"), most + 1)).alias("part", "part_value"), "doc_id", "simhash")
-    # A part that lies in the shared band is the same for all members and says nothing.
-    width, part_width = 64 / n_bands, 64 / (most + 1)
-    inside = (F.col("part") * part_width >= F.col("band") * width) & ((F.col("part") + 1) * part_width <= (F.col("band") + 1) * width)
-    keyed = small.unionByName(large.where(~inside))
+    parts = F.lit(None).cast("array<bigint>")
+    for i, (at, width) in enumerate(band_widths(n_bands)):
+        if 64 - width > most:
+            parts = F.when(F.col("band") == i, band_values(without_band(F.col("simhash"), at, width), most + 1, 64 - width)).otherwise(parts)
+    values = F.coalesce(F.when(F.col("k") > max_bucket, parts), F.array(F.lit(0).cast("bigint")))
+    keyed = live.select("band", "band_value", F.posexplode(values).alias("part", "part_value"), "doc_id", "simhash")
     on = ["band", "band_value", "part", "part_value"]
     left = keyed.select(*on, F.col("doc_id").alias("a"), F.col("simhash").alias("ha"))
     right = keyed.select(*on, F.col("doc_id").alias("b"), F.col("simhash").alias("hb"))

@@ -124,6 +124,32 @@ def test_oversized_buckets_lose_no_pair(spark):
     assert plain == sorted(map(tuple, neardup.candidate_pairs(df, max_bucket=3).collect())) and plain
 
 
+def test_large_buckets_find_pairs_that_differ_in_every_other_part(spark):
+    old = [range(i * 64 // 10, (i + 1) * 64 // 10) for i in range(10)]
+    rows, want, rng = [], set(), random.Random(5)
+    for band in range(4):
+        shared = range(16 * band, 16 * band + 16)
+        outside = [[b for b in part if b not in shared] for part in old]
+        outside = [part for part in outside if part]
+        for distance in (8, 9):
+            for _ in range(20):
+                flips = [rng.choice(part) for part in outside[:distance]]
+                flips += rng.sample([b for b in range(64) if b not in shared and b not in flips], distance - len(flips))
+                x = rng.getrandbits(64) & ~(0xFFFF << 16 * band)  # all in one bucket of the band
+                y = x
+                for b in flips:
+                    y ^= 1 << b
+                want.add((len(rows), len(rows) + 1, distance))
+                rows += [(len(rows), x), (len(rows) + 1, y)]
+    signed = [(i, x - (1 << 64) if x >> 63 else x) for i, x in rows]
+    df = spark.createDataFrame(signed, "doc_id bigint, simhash bigint")
+    got = set(map(tuple, neardup.candidate_pairs(df, max_bucket=3).collect()))
+    assert want <= got and got == set(map(tuple, neardup.candidate_pairs(df).collect()))
+    for n_bands in (1, 2, 3):
+        few = df.where("doc_id < 40")
+        assert sorted(map(tuple, neardup.candidate_pairs(few, 0.3, n_bands, 1).collect())) == sorted(map(tuple, neardup.candidate_pairs(few, 0.3, n_bands).collect()))
+
+
 def test_near_duplicates_end_to_end(spark):
     rng = random.Random(3)
     w = [f"word{i}" for i in range(400)]
