@@ -63,25 +63,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(p5_probability(spark, sf_dir))
 
 
-def _noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, scans.Editor]:
-    """Pages, what was read on them, their furniture, and the editor."""
+def _noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, scans.Editor, DataFrame]:
+    """Pages, what was read on them, their furniture, the editor, and the misreadings of words it doesn't know."""
     scratch = Scratch(spark, "scans")
     pages = _pages(spark, sf_dir)
-    editor = scans.train_editor(scratch.save(scans.word_counts(pages)))
+    counts = scratch.save(scans.word_counts(pages))
+    editor = scans.train_editor(counts)
+    lexicon = scratch.save(scans.rare_misreadings(counts, editor))
     read = scratch.save(scans.read_pages(pages, editor))
     rows = scratch.save(scans.furniture_rows(read))
-    return pages, read, scans.classify_lines(rows, scans.train_furniture(rows)), editor
+    return pages, read, scans.classify_lines(rows, scans.train_furniture(rows)), editor, lexicon
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, read, furniture, _ = _noise(spark, sf_dir)
+    _, read, furniture, _, lexicon = _noise(spark, sf_dir)
     structure = _cases(_structure(spark, sf_dir, Scratch(spark, "quality"), {"news_segments": ("seg_id", "content")}))
-    return scans.noise_kinds(read, furniture).join(structure, ["tab", "rec_id"], "left_anti")
+    return scans.noise_kinds(read, furniture, scans.rare_hits(read, lexicon)).join(structure, ["tab", "rec_id"], "left_anti")
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, _, furniture, editor = _noise(spark, sf_dir)
-    return scans.repair_pages(pages, furniture, editor)
+    pages, _, furniture, editor, lexicon = _noise(spark, sf_dir)
+    return scans.repair_pages(pages, furniture, editor, scans.rare_hits(scans.rare_words(pages, editor), lexicon))
 
 
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

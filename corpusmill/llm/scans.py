@@ -213,7 +213,7 @@ def fit_editor(known: dict[str, int], rare: list[tuple[str, int]], ratio: int =
 # ---------------------------------------------------------------- characters
 
 
-KEEP, MISREAD, STRAY, SINGLE = 0, 1, 2, 3
+KEEP, MISREAD, STRAY, SINGLE, RARE = 0, 1, 2, 3, 4
 _STRAY = re.compile(r"[\^»«|*\\■•¦~<>{}_=+]+|,,|\*;|[;:,]+['|]?")
 _INNER = re.compile(r"[\^»«|\\■•¦~<>{}]")
 
@@ -233,12 +233,16 @@ def running_text(body: str, divided: bool = True) -> list[str]:
 
 
 class Reader:
-    """What each token is: kept, misread, stray or a single letter; known for each token once."""
+    """What each token is: kept, misread, stray, a single letter, or rare; known for each token once.
+
+    A rare token is kept, but holds words (``rare``) that are not known, so the editor can't tell what they are.
+    """
 
     def __init__(self, editor: Editor):
         self.editor = editor
         self.memo: dict[str, int] = {}
         self.fixed: dict[str, str] = {}
+        self.rare: dict[str, list[str]] = {}
 
     def code(self, token: str) -> int:
         got = self.memo.get(token)
@@ -246,6 +250,7 @@ class Reader:
             if len(self.memo) > 400_000:
                 self.memo.clear()
                 self.fixed.clear()
+                self.rare.clear()
             got = self.memo[token] = self._code(token)
         return got
 
@@ -261,9 +266,26 @@ class Reader:
             if low in self.editor.known or (low and self.editor.edit(low) in self.editor.known):
                 self.fixed[token] = rest
                 return MISREAD
-            return KEEP
+            return self._rare(token)
         codes = [self._part(p) for p in token.replace("--", "—").split("—")]
-        return MISREAD if any(codes) else KEEP
+        return MISREAD if any(codes) else self._rare(token)
+
+    def _rare(self, token: str) -> int:
+        low = [w for w in map(bare, token.replace("--", "—").split("—")) if w not in self.editor.known and may_be_misread(w)]
+        if not low:
+            return KEEP
+        self.rare[token] = low
+        return RARE
+
+    def rare_words(self, tokens: list[str], codes: bytes) -> list[str]:
+        """The distinct rare words of tokens; empty if nothing is rare."""
+        if RARE not in codes:
+            return []
+        return list({w for t, c in zip(tokens, codes) if c == RARE for w in (self.rare.get(t) or self._again(t))})
+
+    def _again(self, token: str) -> list[str]:
+        self._rare(token)
+        return self.rare[token]
 
     def _part(self, part: str) -> bool:
         low = bare(part)
@@ -289,6 +311,76 @@ class Reader:
         return 1 in codes or 2 in codes or b"\3\3\3" in codes
 
 
+# ---------------------------------------------------------------- words that are not frequent enough to be known
+
+
+#: The marks of ``_INNER``.
+_MARKED = "^»«|\\■•¦~<>{}"
+
+
+def may_be_misread(word: str) -> bool:
+    return 2 <= len(word) <= 40 and any(ch.isalpha() for ch in word) and not _NO_WORD.search(word)
+
+
+def misreadings(word: str, ops: dict[str, list[str]]) -> set[tuple[str, str, str, int]]:
+    """(misread word, read, meant, place) of every single operation, and of every mark within the word."""
+    out = {(word[:i] + m + word[i:], m, "", i) for i in range(len(word) + 1) for m in _MARKED}
+    for read, all_meant in ops.items():
+        for meant in all_meant:
+            for i in range(len(word) - len(meant) + 1):
+                if word.startswith(meant, i):
+                    out.add((word[:i] + read + word[i + len(meant) :], read, meant, i))
+    return out
+
+
+def rare_misreadings(counts: DataFrame, editor: Editor, ratio: int = 15) -> DataFrame:
+    """``word``, ``meant``: misreadings of the words that are not frequent enough for the editor to know.
+
+    Every word that occurs ``ratio`` times is turned into its misreadings, which are joined with all counted
+    words; those that are ``ratio`` times rarer are judged by the editor's model. So nothing is collected.
+    An original that is itself misread is edited in turn.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(editor)
+
+    def spell(batches):
+        e = shared.value
+        for b in batches:
+            rows = [(u, v, n, *op) for v, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()) if v not in e.known for u, *op in misreadings(v, e.ops)]
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["word", "original", "originals", "read", "meant", "at"])
+
+    originals = counts.where((F.col("n") >= ratio) & F.col("word").rlike(r"^\p{L}[\p{L}'’-]*\p{L}$"))
+    spelled = arrow_map(originals, spell, "word string, original string, originals bigint, read string, meant string, at int")
+    met = spelled.join(counts, "word").where((F.col("originals") >= F.col("n") * ratio))
+    options = met.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("original", "originals", "read", "meant", "at"))).alias("options"))
+
+    def judge(batches):
+        e = shared.value
+        for b in batches:
+            words, meant = [], []
+            for u, options in zip(b.column("word").to_pylist(), b.column("options").to_pylist()):
+                if u in e.known or not may_be_misread(u):
+                    continue
+                marked = [o for o in options if o["read"] in _MARKED]
+                if marked:
+                    k = max(range(len(marked)), key=lambda i: marked[i]["originals"]) + 1
+                    options = marked
+                else:
+                    counted = {o["original"]: o["originals"] for o in options}
+                    k = e.model.best([e._keep(u, len(options))] + [e._features(u, o["original"], o["read"], o["meant"], o["at"], counted) for o in options])
+                if k:
+                    words.append(u), meant.append(e.edit(options[k - 1]["original"]))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(meant, pa.string())], ["word", "meant"])
+
+    return arrow_map(options, judge, "word string, meant string")
+
+
+def rare_hits(rare: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``tab``, ``rec_id``, ``word``, ``meant`` of records with misread words, from their ``rare`` words."""
+    return rare.select("tab", "rec_id", F.explode("rare").alias("word")).join(lexicon, "word")
+
+
 # ---------------------------------------------------------------- lines that stand apart
 
 
@@ -429,16 +521,16 @@ def weak_class(kind: str, form: list[str], likeness: int, pages: int, heads: int
 
 
 def read_pages(pages: DataFrame, editor: Editor) -> DataFrame:
-    """``tab``, ``rec_id``, ``grp``, ``title``, ``hyphen``, ``char``, ``lines``: all that is found in one pass over the texts.
+    """``tab``, ``rec_id``, ``grp``, ``title``, ``hyphen``, ``char``, ``lines``, ``rare``: all that is found in one pass over the texts.
 
-    Null and empty texts give no row. Misread characters are looked for outside the lines that stand apart.
+    ``rare`` are the words for ``rare_hits``, empty where ``char`` is true without them. Null and empty texts give no row. Misread characters are looked for outside the lines that stand apart.
     """
     shared = pages.sparkSession.sparkContext.broadcast(editor)
 
     def run(batches):
         reader = Reader(shared.value)
         for b in batches:
-            keep, hyphen, char, found = [], [], [], []
+            keep, hyphen, char, found, rare = [], [], [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 if not t or t.isspace():
                     continue
@@ -449,15 +541,34 @@ def read_pages(pages: DataFrame, editor: Editor) -> DataFrame:
                 body = "\n".join([s for k, s in enumerate(lines) if k not in gone and s.strip()]) if gone or "\n\n" in t else t
                 keep.append(i)
                 hyphen.append(_DIVIDED.search(body) is not None)
-                char.append(Reader.noisy(reader.codes(running_text(body, hyphen[-1]))))
+                tokens = running_text(body, hyphen[-1])
+                codes = reader.codes(tokens)
+                char.append(Reader.noisy(codes))
+                rare.append([] if char[-1] else reader.rare_words(tokens, codes))
                 found.append([dict(zip(("at", "kind", "key", "head", "form"), x)) for x in apart])
             kept = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [kept.column("tab"), kept.column("rec_id"), kept.column("grp"), kept.column("title"), pa.array(hyphen, pa.bool_()), pa.array(char, pa.bool_()), pa.array(found, _LINES)],
-                ["tab", "rec_id", "grp", "title", "hyphen", "char", "lines"],
+                [kept.column("tab"), kept.column("rec_id"), kept.column("grp"), kept.column("title"), pa.array(hyphen, pa.bool_()), pa.array(char, pa.bool_()), pa.array(found, _LINES), pa.array(rare, pa.list_(pa.string()))],
+                ["tab", "rec_id", "grp", "title", "hyphen", "char", "lines", "rare"],
             )
 
-    return arrow_map(pages.select("tab", "rec_id", "grp", "title", "text"), run, f"tab string, rec_id bigint, grp string, title string, hyphen boolean, char boolean, lines array<{LINE}>")
+    return arrow_map(pages.select("tab", "rec_id", "grp", "title", "text"), run, f"tab string, rec_id bigint, grp string, title string, hyphen boolean, char boolean, lines array<{LINE}>, rare array<string>")
+
+
+def rare_words(pages: DataFrame, editor: Editor) -> DataFrame:
+    """``tab``, ``rec_id``, ``rare``: the rare words of whole texts, lines that stand apart included."""
+    shared = pages.sparkSession.sparkContext.broadcast(editor)
+
+    def run(batches):
+        reader = Reader(shared.value)
+        for b in batches:
+            rare = []
+            for t in b.column("text").to_pylist():
+                tokens = _DIVIDED.sub("", _clean(t or "")).split()
+                rare.append(reader.rare_words(tokens, reader.codes(tokens)))
+            yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("rec_id"), pa.array(rare, pa.list_(pa.string()))], ["tab", "rec_id", "rare"])
+
+    return arrow_map(pages.select("tab", "rec_id", "text"), run, "tab string, rec_id bigint, rare array<string>")
 
 
 _LINES = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("head", pa.string()), ("form", pa.list_(pa.string()))]))
@@ -510,14 +621,16 @@ def classify_lines(rows: DataFrame, model: AveragedPerceptron) -> DataFrame:
     return arrow_map(rows, run, "tab string, rec_id bigint, at int, class string")
 
 
-def noise_kinds(read: DataFrame, furniture: DataFrame) -> DataFrame:
+def noise_kinds(read: DataFrame, furniture: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """``tab``, ``rec_id``, ``kind``: one row for each kind of noise in a record."""
     own = read.select("tab", "rec_id", F.explode(F.filter(F.array(F.when(F.col("hyphen"), F.lit("hyphen")), F.when(F.col("char"), F.lit("char"))), lambda x: x.isNotNull())).alias("kind"))
     kinds = F.when(F.col("class") == "both", F.array(F.lit("header"), F.lit("page_no"))).otherwise(F.array("class"))
+    if hits is not None:
+        own = own.union(hits.select("tab", "rec_id", F.lit("char")))
     return own.union(furniture.select("tab", "rec_id", F.explode(kinds))).distinct()
 
 
-def repair_page(text: str, furniture: set[int], reader: Reader) -> str:
+def repair_page(text: str, furniture: set[int], reader: Reader, meant: dict[str, str] | None = None) -> str:
     """The page as continuous paragraphs: furniture left out, divided words joined, characters put right, lines of a paragraph as one."""
     lines = _clean(text).split("\n")
     paragraphs: list[list[str]] = [[]]
@@ -540,11 +653,23 @@ def repair_page(text: str, furniture: set[int], reader: Reader) -> str:
             else:
                 whole = f"{whole} {s}" if whole else s
         if whole:
-            out.append(_edited(whole, reader))
+            out.append(_edited(whole, reader, meant or {}))
     return "\n\n".join(out)
 
 
-def _edited(text: str, reader: Reader) -> str:
+def _respelled(token: str, meant: dict[str, str]) -> str:
+    """The token with the words that have a meaning in ``meant`` put right, in their own case."""
+    parts = re.split("(—|--)", token)
+    for k, part in enumerate(parts):
+        low = bare(part)
+        if low in meant:
+            at = part.lower().find(low)
+            old, new = part[at : at + len(low)], meant[low]
+            parts[k] = part[:at] + (new.upper() if old.isupper() else new.capitalize() if old[:1].isupper() else new) + part[at + len(low) :]
+    return "".join(parts)
+
+
+def _edited(text: str, reader: Reader, meant: dict[str, str]) -> str:
     tokens = text.split()
     codes = [reader.code(t) for t in tokens]
     out, i = [], 0
@@ -561,21 +686,26 @@ def _edited(text: str, reader: Reader) -> str:
             parts = re.split("(—|--)", tokens[i])
             out.append(reader.fixed.get(tokens[i]) or "".join(reader.fixed.get(p, p) for p in parts))
         elif codes[i] != STRAY:
-            out.append(tokens[i])
+            out.append(_respelled(tokens[i], meant) if codes[i] == RARE and meant else tokens[i])
         i += 1
     return " ".join(out)
 
 
-def repair_pages(pages: DataFrame, furniture: DataFrame, editor: Editor) -> DataFrame:
-    """``tab``, ``rec_id``, ``repaired`` of each row; null texts stay null, repeated rows repeated."""
+def repair_pages(pages: DataFrame, furniture: DataFrame, editor: Editor, hits: DataFrame | None = None) -> DataFrame:
+    """``tab``, ``rec_id``, ``repaired`` of each row; null texts stay null, repeated rows repeated. ``hits`` as of ``rare_hits``."""
     shared = pages.sparkSession.sparkContext.broadcast(editor)
     gone = furniture.groupBy("tab", "rec_id").agg(F.collect_set("at").alias("gone"))
 
     def run(batches):
         reader = Reader(shared.value)
         for b in batches:
-            fixed = [t if t is None else repair_page(t, set(g or ()), reader) for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist())]
+            cols = (b.column(c).to_pylist() for c in ("text", "gone", "meant"))
+            fixed = [t if t is None else repair_page(t, set(g or ()), reader, {x["word"]: x["meant"] for x in m or ()}) for t, g, m in zip(*cols)]
             yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("rec_id"), pa.array(fixed, pa.string())], ["tab", "rec_id", "repaired"])
 
     wide = pages.select("tab", "rec_id", "text").join(gone, ["tab", "rec_id"], "left")
+    if hits is None:
+        wide = wide.withColumn("meant", F.lit(None).cast("array<struct<word:string,meant:string>>"))
+    else:
+        wide = wide.join(hits.groupBy("tab", "rec_id").agg(F.collect_set(F.struct("word", "meant")).alias("meant")), ["tab", "rec_id"], "left")
     return arrow_map(wide, run, "tab string, rec_id bigint, repaired string")

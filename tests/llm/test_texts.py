@@ -173,6 +173,23 @@ def test_noise_of_a_small_table(spark):
     assert {r.rec_id: r.repaired for r in scans.repair_pages(pages, scans.classify_lines(lines, scans.train_furniture(lines)), _editor()).collect()}[90] is None
 
 
+def test_misreadings_of_words_that_are_not_frequent(spark):
+    counted = [*KNOWN.items(), *RARE, ("castles", 60), ("castlcs", 2), ("horses", 40), ("hor|ses", 1), ("bridges", 20), ("bridgcs", 2), ("xyzzy", 15), (None, 3)]
+    counts = spark.createDataFrame(counted, "word string, n bigint")
+    lexicon = scans.rare_misreadings(counts, _editor())
+    assert sorted(map(tuple, lexicon.collect())) == [("castlcs", "castles"), ("hor|ses", "horses")]
+    texts = ["The house of the Castlcs, before the garden.", "The house—CASTLCS of it.", "The hor|ses of it.", "The castles of the bridgcs.", None]
+    rows = [("scan_records", i, "f", None, t) for i, t in enumerate(texts)] + [("scan_records", 0, "f", None, texts[0])]
+    pages = spark.createDataFrame(rows, "tab string, rec_id bigint, grp string, title string, text string")
+    read = scans.read_pages(pages, _editor())
+    none = spark.createDataFrame([], "tab string, rec_id bigint, at int, class string")
+    found = scans.noise_kinds(read, none, scans.rare_hits(read, lexicon)).collect()
+    assert sorted((r.rec_id, r.kind) for r in found) == [(0, "char"), (1, "char"), (2, "char")]
+    fixed = scans.repair_pages(pages, none, _editor(), scans.rare_hits(scans.rare_words(pages, _editor()), lexicon)).collect()
+    want = ["The house of the Castles, before the garden.", "The house—CASTLES of it.", "The horses of it.", texts[3], None]
+    assert sorted((r.rec_id, r.repaired or "") for r in fixed) == sorted((i, t or "") for i, t in [*enumerate(want), (0, want[0])])
+
+
 def test_perceptron_learns_and_repeats():
     ex = [([["keep"], ["go", ("odd", i % 2)]], i % 2) for i in range(200)]
     a, b = (AveragedPerceptron().train(ex) for _ in range(2))
