@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, leak, mojibake, quality, repetition, scans
+from corpusmill.llm import encoding, leak, mojibake, quality, records, repetition, scans
 from corpusmill.plans.tables import table
 from corpusmill.scratch import Scratch
 
@@ -125,7 +125,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_removed, p10_found, p10_restored)}
+QUERIES = records.QUERIES | {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_removed, p10_found, p10_restored)}
 
 _SHARES = """
 WITH last AS (SELECT seg_id, content, row_number() OVER (PARTITION BY seg_id ORDER BY loaded_at DESC NULLS LAST) AS k FROM news_segments WHERE seg_id IS NOT NULL),
@@ -134,7 +134,7 @@ g AS (SELECT seg_id, i, row_number() OVER (PARTITION BY seg_id, array_to_string(
 FROM (SELECT seg_id, w, unnest(range(1, len(w) - 2)) AS i FROM w)),
 r AS (SELECT seg_id, count(DISTINCT p) AS n FROM (SELECT seg_id, unnest(range(i, i + 4)) AS p FROM g WHERE nth > 1) GROUP BY seg_id),
 shares AS (SELECT w.seg_id, len(w.w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_repeated FROM w LEFT JOIN r USING (seg_id))"""
-SQL = {
+SQL = records.SQL | {
     "p2_shares": f"{_SHARES} SELECT seg_id, n_words, n_repeated FROM shares",
     "p2_found": f"{_SHARES} SELECT seg_id FROM shares WHERE n_words > 0 AND n_repeated * 10 >= n_words * 3",
 }
