@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import corpus, records
+from corpusmill.plans import corpus
 
-QUERIES = {**records.QUERIES, **corpus.QUERIES}
-SQL = {**records.SQL, **corpus.SQL}
+QUERIES = {**corpus.QUERIES}
+SQL = {**corpus.SQL}

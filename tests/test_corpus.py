@@ -227,4 +227,4 @@ def test_chat_and_stream(spark, tmp_path):
 def test_entry_has_sql_for_most_queries():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and {"p3_found", "p6_found", "p7_found", "dedup_corpus"} <= set(e.queries())
+    assert set(e.oracle_sql()) <= set(e.queries()) and {"dedup_corpus", "packed_blocks"} <= set(e.queries())
