@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: A word is a run of letters or digits.
@@ -36,15 +38,36 @@ def words(text: str, join_divided: bool = True) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def batch_hashes(texts: list[str | None], join_divided: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """All word hashes one after another, and where each text's begin (one more entry than texts)."""
-    flat: list[int] = []
-    ends = [0]
-    for t in texts:
-        if t:
-            flat.extend(map(word_hash, words(t, join_divided)))
-        ends.append(len(flat))
-    return np.array(flat, np.uint64), np.array(ends, np.int64)
+#: The same rules for Arrow's regular expressions.
+_BLANK = "\\t\\v\\f\\r\\x{1c}-\\x{1f}\\x{85}\\pZ"
+_ARROW_DIVIDED, _ARROW_GAP = f"([\\pL\\pN])[-¬­‐‑=][{_BLANK}]*\n[\n{_BLANK}]*(\\pL)", "[^\\pL\\pN]+"
+_CHARS_AT_ONCE = 1 << 28
+
+
+def batch_hashes(texts: list[str | None] | pa.Array, join_divided: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All word hashes one after another, and where each text's begin (one more entry than texts).
+
+    Texts are cut by Arrow, and each distinct word of a batch is hashed once. Null texts have no words.
+    """
+    col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    if len(col) > 1 and col.nbytes > _CHARS_AT_ONCE:
+        half = len(col) // 2
+        (h1, e1), (h2, e2) = batch_hashes(col[:half], join_divided), batch_hashes(col[half:], join_divided)
+        return np.concatenate([h1, h2]), np.concatenate([e1, e1[-1] + e2[1:]])
+    if not len(col):
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    col = pc.fill_null(col.cast(pa.large_string()), "")
+    if join_divided:
+        for _ in range(2):  # a word of one letter may be divided on both sides
+            col = pc.replace_substring_regex(col, _ARROW_DIVIDED, "\\1\\2")
+    parts = pc.split_pattern_regex(pc.utf8_lower(col), _ARROW_GAP)
+    coded = parts.flatten().dictionary_encode()
+    own = np.array([word_hash(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    blank = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    real = at != blank
+    ends = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])]
+    return (own[at[real]] if len(own) else np.empty(0, np.uint64)), ends.astype(np.int64)
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
