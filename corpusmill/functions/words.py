@@ -40,7 +40,7 @@ def words(text: str, join_divided: bool = True) -> list[str]:
 
 #: The same rules for Arrow's regular expressions.
 _BLANK = "\\t\\v\\f\\r\\x{1c}-\\x{1f}\\x{85}\\pZ"
-_ARROW_DIVIDED, _ARROW_GAP = f"([\\pL\\pN])[-¬­‐‑=][{_BLANK}]*\n[\n{_BLANK}]*(\\pL)", "[^\\pL\\pN]+"
+_ARROW_DIVIDED, _ARROW_GAP = f"([\\pL\\pN])[-¬­‐‑=][{_BLANK}]*\n[\n{_BLANK}]*([\\pL\\p{{Nl}}\\p{{No}}])", "[^\\pL\\pN]+"
 _CHARS_AT_ONCE = 1 << 28
 
 
