@@ -1,41 +1,33 @@
 """Equal and almost equal documents across splits, by an edit-distance segment join on words.
 
-Two texts count as almost equal if at least ``agree`` of the words of the longer one agree in order.
-An evaluation text of n words then has at most k = floor((1 - agree) * n) words without a partner, and
-each breaks one of its segments at most. So of any k + c of its segments c stand whole in the other
-text, within a bounded shift. The k + c rarest segments are the join keys, which keeps the phrases
-that every text has out of the join; pairs with c of them at positions that the bound allows are
-verified by banded dynamic programming, a row of the band as one big integer. Words that come in
-without replacing one may break a segment each, too: the guarantee is for pairs in which words lost
-and such places together are at most k, which holds for all pairs that agree in nine tenths.
-
-Copies with the same words are collapsed first: pairs are found between classes and expanded with
-the membership in the end. Texts never move: only hashes of segments that may match are shuffled.
-Filters of fixed size, filled with the evaluation texts' segments, tell which; when one is overfull
-at some scale, more hashes are shuffled, but no pair is lost.
+Two texts count as almost equal if at least ``agree`` of the words of the longer one agree in order. How
+candidates are found and verified is in :mod:`corpusmill.llm.segments`; no pair that agrees is missed.
+
+Texts are cut into words once; the hashes of the words are kept in a table. Copies with the same words
+are collapsed first: pairs are found between classes and expanded with the membership in the end.
+Lengths of a pair differ by a factor of 1 / agree at most, so texts of one length class meet evaluation
+texts of three. Either side of a class is cut into blocks of bounded size, as many as its counted words
+need, and each pair of blocks is one group: a class that holds most of the corpus is spread like any
+other, and no task holds more than two blocks. All counting and verifying of a pair happens within its
+group, so neither hits nor candidates are shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.arrow import arrow_map
+from corpusmill.functions.arrow import arrow_map, ship
 from corpusmill.functions.paths import DATA_ROOT, same_file
-from corpusmill.functions.words import batch_hashes, text_of_window, windows
+from corpusmill.functions.words import batch_hashes
+from corpusmill.llm.segments import SegmentIndex
 from corpusmill.scratch import Scratch
 
-#: Bits of the filters of segments and of ids; their sizes are fixed, whatever the data.
-FILTER_BITS, ID_BITS = 26, 22
-#: Widths of segments, each with the number of words of an evaluation text from which it is used. The
-#: shorter a text, the shorter its segments, so that enough of them can stay whole.
-WIDTHS = ((2, 0), (3, 30), (4, 80))
-#: Whole segments that a pair must have, if the text has so many more than may be broken.
-WHOLE = 3
+#: Words of evaluation texts and of other texts that meet in one group.
+BLOCK_WORDS = (1_000_000, 2_000_000)
 
 
 def listed(docs: DataFrame, val_list: DataFrame, data_root: str = DATA_ROOT) -> DataFrame:
@@ -45,252 +37,103 @@ def listed(docs: DataFrame, val_list: DataFrame, data_root: str = DATA_ROOT) ->
     return docs.select("doc_id", same_file(F.col("path"), data_root).alias("p")).join(one, "p").select("doc_id", "split").distinct()
 
 
-def _lcs_at_least(a: list[int], b: list[int], need: int) -> int:
-    """Longest common subsequence if it is at least ``need``, else 0; only cells within the band that can lead to it."""
-    n = len(a)
-    up, down = n - need, len(b) - need  # words of either text without a partner
-    if up < 0 or down < 0:
-        return 0
-    masks: dict[int, int] = defaultdict(int)
-    for i, x in enumerate(a):
-        masks[x] |= 1 << i
-    full = (1 << n) - 1
-    band = (1 << (up + down + 1)) - 1
-    v = full
-    for j, x in enumerate(b):
-        m = masks.get(x)
-        if m:
-            lo = j - down
-            u = v & m & (band << lo if lo >= 0 else band >> -lo)
-            if u:
-                v = ((v + u) | (v - u)) & full
-    got = n - v.bit_count()
-    return got if got >= need else 0
-
-
-class _Filter:
-    """Which keys may be in a table. An overfull filter lets all through."""
-
-    def __init__(self, bits: int):
-        self.shift = np.uint64(64 - bits)
-        self.bytes = np.zeros(1 << (bits - 3), np.uint8)
-
-    def bit(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        k = self.bit(keys)
-        return (self.bytes[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def _filter_of(keys: DataFrame, column: str, bits: int) -> _Filter:
-    """The filter of a table's keys, built in pages on executors; the driver gets its fixed number of bytes."""
-    f = _Filter(bits)
-    page_bits = bits - 6
-
-    def bits_of(batches):
-        for b in batches:
-            k = f.bit(np.asarray(b.column(column)))
-            yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(page_bits)).astype(np.int32)), pa.array((k & np.uint64((1 << page_bits) - 1)).astype(np.int32))], ["page", "bit"])
-
-    def fill(key, pdf):
-        import pandas as pd
-
-        page = np.zeros(1 << page_bits, np.uint8)
-        page[pdf["bit"].to_numpy()] = 1
-        return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(page, bitorder="little").tobytes()]})
-
-    pages = arrow_map(keys.select(column), bits_of, "page int, bit int").distinct()
-    rows = f.bytes.reshape(1 << 6, -1)
-    for page, data in pages.groupBy("page").applyInPandas(fill, "page int, bits binary").collect():
-        rows[page] = np.frombuffer(data, np.uint8)
-    return f
-
-
-def _ids(b) -> np.ndarray:
-    return np.asarray(b.column("doc_id").fill_null(-1)).astype(np.int64)
-
-
-def _segments(docs: DataFrame, ids: _Filter) -> DataFrame:
-    """``doc_id``, ``seg``, ``pos``, ``n`` of disjoint segments of the documents that may be in the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def run(batches):
-        f = shared.value
-        for b in batches:
-            d = _ids(b)
-            at = np.flatnonzero(f.has(d))
-            h, ends = batch_hashes([b.column("text")[int(i)].as_py() for i in at])
-            n = np.diff(ends)
-            for (width, least), most in zip(WIDTHS, [x for _, x in WIDTHS[1:]] + [1 << 60]):
-                w = windows(h, width)
-                text, inside = text_of_window(ends, width)
-                pos, size = np.arange(len(w)) - ends[:-1][text], n[text]
-                take = inside & (pos % width == 0) & (size >= least) & (size < most)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[at[text[take]]]), pa.array(w[take].view(np.int64)), pa.array(pos[take], pa.int32()), pa.array(size[take], pa.int32())],
-                    ["doc_id", "seg", "pos", "n"],
-                )
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, seg bigint, pos int, n int")
-
-
-def _found(h: np.ndarray, ends: np.ndarray, f: _Filter, agree: float):
-    """(hash, text, position) of the windows that may be a segment of an evaluation text of a fitting length."""
-    n = np.diff(ends)
-    for (width, least), most in zip(WIDTHS, [x for _, x in WIDTHS[1:]] + [1 << 60]):
-        fits = (n >= least * agree) & (n * agree <= most)
-        if fits.any():
-            w = windows(h, width)
-            text, inside = text_of_window(ends, width)
-            take = np.flatnonzero(inside & fits[text] & f.has(w.view(np.int64)))
-            yield w[take].view(np.int64), text[take], take - ends[:-1][text[take]]
-
+def _texts(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``h``, ``n``, ``w``: hash of a text's words, their number, and 32 bits of each word's hash.
 
-def _prints_and_counts(docs: DataFrame, segments: _Filter, agree: float) -> DataFrame:
-    """One pass over all texts with two kinds of rows.
-
-    With ``doc_id``: ``h`` is the hash of a document's words, ``n`` their number; a text without words has the hash
-    of the text, a null or blank one no row. Without: ``h`` is a segment, ``n`` how often it stands in this task's texts.
+    A text without words has the hash of the text; null ids, null and blank texts have no row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(segments)
-
-    def counted(parts):
-        keys = np.concatenate([k for k, _ in parts])
-        got, at = np.unique(keys, return_inverse=True)
-        return got, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64) if len(got) else np.empty(0, np.int64)
 
     def run(batches):
         import xxhash
 
-        f, parts, held = shared.value, [], 0
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = b.column("text")
             h, ends = batch_hashes(texts)
-            ids, key, n = [], [], []
-            for i, (d, t) in enumerate(zip(b.column("doc_id").to_pylist(), texts)):
-                if d is None or not t or t.isspace():
-                    continue
+            short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            ids, key, n, keep = [], [], [], []
+            for i, d in enumerate(b.column("doc_id").to_pylist()):
                 k = int(ends[i + 1] - ends[i])
+                t = None if k else texts[i].as_py()
+                if d is None or (not k and (not t or t.isspace())):
+                    continue
                 data = h[ends[i] : ends[i + 1]].tobytes() if k else t.encode("utf-8", "surrogatepass")
-                ids.append(d), n.append(k), key.append(xxhash.xxh3_64_intdigest(data, seed=0 if k else 1) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "h", "n"])
-            for w, _, _ in _found(h, ends, f, agree):
-                parts.append((w, np.ones(len(w), np.int64)))
-                held += len(w)
-            if held > 2_000_000:
-                parts = [counted(parts)]
-                if len(parts[0][0]) > 1_000_000:
-                    yield tally(*parts.pop())
-                held = sum(len(k) for k, _ in parts)
-        if parts:
-            yield tally(*counted(parts))
-
-    def tally(keys, n):
-        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(n)], ["doc_id", "h", "n"])
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, h bigint, n bigint")
-
-
-def _windows_in(docs: DataFrame, segments: _Filter, agree: float) -> DataFrame:
-    """``doc_id``, ``seg``, ``pos``, ``n`` of all windows of all documents that may be one of the segments."""
-    shared = docs.sparkSession.sparkContext.broadcast(segments)
-
-    def run(batches):
-        f = shared.value
-        for b in batches:
-            d = _ids(b)
-            h, ends = batch_hashes(b.column("text").to_pylist())
-            n = np.diff(ends)
-            for w, at, pos in _found(h, ends, f, agree):
-                yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(w), pa.array(pos, pa.int32()), pa.array(n[at], pa.int32())], ["doc_id", "seg", "pos", "n"])
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, seg bigint, pos int, n int")
-
-
-def _words_of(docs: DataFrame, ids: _Filter) -> DataFrame:
-    """``doc_id``, ``w``: the words of the documents that may be in the filter, as 32 bits of their hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def run(batches):
-        f = shared.value
-        for b in batches:
-            d = _ids(b)
-            at = np.flatnonzero(f.has(d))
-            h, ends = batch_hashes([b.column("text")[int(i)].as_py() for i in at])
-            w = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(d[at]), w], ["doc_id", "w"])
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, w array<int>")
-
-
-def _verified(pairs: DataFrame, agree: float) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            a, c = b.column("wa").to_pylist(), b.column("wb").to_pylist()
-            keep, share = [], []
-            for i, (x, y) in enumerate(zip(a, c)):
-                m = max(len(x), len(y))
-                got = _lcs_at_least(x, y, int(np.ceil(agree * m - 1e-9)))
-                if got:
-                    keep.append(i), share.append(got / m)
-            out = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b"), pa.array(share, pa.float64())], ["a", "b", "share"])
-
-    return arrow_map(pairs, run, "a bigint, b bigint, share double")
+                keep.append(i), ids.append(d), n.append(k), key.append(xxhash.xxh3_64_intdigest(data, seed=0 if k else 1) - (1 << 63))
+            w = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(short)).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), w], ["doc_id", "h", "n", "w"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, h bigint, n bigint, w array<int>")
+
+
+def _groups(texts: DataFrame, reps: DataFrame, agree: float, block_words: tuple[int, int]) -> DataFrame:
+    """``grp``, ``other``, ``doc_id``, ``w``: the texts of each pair of blocks."""
+    # With this step lengths of a pair are in the same class or in neighbouring ones.
+    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1 / agree)))).cast("int")
+    sized = reps.where("n > 0").withColumn("len", length)
+    # One row for each length class: some dozens at any scale.
+    words = {r["len"]: (r["a"] or 0, r["b"] or 0) for r in sized.groupBy("len").agg(F.sum(F.when(F.col("rv").isNotNull(), F.col("n"))).alias("a"), F.sum(F.when(F.col("rt").isNotNull(), F.col("n"))).alias("b")).collect()}
+    parts = {}
+    for c, (_, b) in words.items():
+        a = sum(words.get(c + k, (0, 0))[0] for k in (-1, 0, 1))
+        if a and b:
+            parts[c] = (-(-a // block_words[0]), -(-b // block_words[1]))
+    flat = [F.lit(x) for c in sorted(parts) for x in (c, parts[c][0])], [F.lit(x) for c in sorted(parts) for x in (c, parts[c][1])]
+    n_a, n_b = (F.create_map(*f) if f else F.create_map().cast("map<int,int>") for f in flat)
+
+    def side(column: str, other: bool, classes) -> DataFrame:
+        rows = sized.where(F.col(column).isNotNull()).select(F.col(column).alias("doc_id"), F.explode(classes).alias("c"))
+        rows = rows.select("doc_id", "c", F.try_element_at(n_a, F.col("c")).alias("na"), F.try_element_at(n_b, F.col("c")).alias("nb")).where("na is not null")
+        own, facing = ("nb", "na") if other else ("na", "nb")
+        block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col(own)).cast("bigint")
+        rows = rows.select("doc_id", "c", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(facing).cast("bigint") - 1)).alias("facing"))
+        a, b = ("facing", "own") if other else ("own", "facing")
+        grp = F.shiftleft(F.col("c").cast("bigint"), 48) + F.shiftleft(F.col(a), 24) + F.col(b)
+        return rows.select("doc_id", F.lit(other).alias("other"), grp.alias("grp"))
+
+    near = F.array(F.col("len") - 1, F.col("len"), F.col("len") + 1)
+    roles = side("rv", False, near).union(side("rt", True, F.array("len")))
+    return roles.join(texts.select("doc_id", "w"), "doc_id").select("grp", "other", "doc_id", "w")
+
+
+def _joined(groups: DataFrame, agree: float) -> DataFrame:
+    def block(t: pa.Table):
+        ids, at = np.unique(t.column("doc_id").to_numpy(), return_index=True)
+        w = t.column("w").combine_chunks().take(pa.array(at))
+        return ids, w.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False), np.concatenate([[0], np.cumsum(w.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+    def run(t: pa.Table) -> pa.Table:
+        other = t.column("other")
+        (a, wa, ea), (b, wb, eb) = (block(t.filter(m)) for m in (pc.invert(other), other))
+        got = list(SegmentIndex(wa, ea, agree).pairs(wb, eb)) if len(a) and len(b) else []
+        return pa.table({
+            "a": pa.array([int(a[x]) for x, _, _ in got], pa.int64()), "b": pa.array([int(b[y]) for _, y, _ in got], pa.int64()), "share": pa.array([s for *_, s in got], pa.float64()),
+        })
+
+    ship(groups.sparkSession)
+    return groups.groupBy("grp").applyInArrow(run, "a bigint, b bigint, share double")
 
 
 def cross_split_pairs(
-    docs: DataFrame,
-    val_list: DataFrame,
-    scratch: Scratch,
-    agree: float = 0.8,
-    filter_bits: int = FILTER_BITS,
-    data_root: str = DATA_ROOT,
+    docs: DataFrame, val_list: DataFrame, scratch: Scratch, agree: float = 0.8, block_words: tuple[int, int] = BLOCK_WORDS, data_root: str = DATA_ROOT
 ) -> DataFrame:
     """``val_id``, ``split``, ``train_id``, ``share`` of every pair of a listed and an unlisted document that is equal or almost equal.
 
     Case, punctuation, line breaks and divisions of words at line ends are aside. Null, empty and blank texts pair
     with nothing; texts without any word pair if they are equal. Rows repeated with one id count once;
     null ids are left out. Empty tables give no pairs. Extra columns are ignored.
+
+    :param block_words: words of evaluation texts and of other texts in a group; what a task holds is bounded by them.
     """
     docs = docs.select("doc_id", "path", "text")
     val = scratch.save(listed(docs, val_list, data_root).where("doc_id is not null"))
-    all_seg = scratch.save(_segments(docs, _filter_of(val, "doc_id", ID_BITS)).join(val.select("doc_id"), "doc_id", "left_semi").distinct())
-    both = scratch.save(_prints_and_counts(docs, _filter_of(all_seg, "seg", filter_bits), agree))
-    prints = both.where("doc_id is not null").distinct()
-    counts = both.where("doc_id is null").groupBy(F.col("h").alias("seg")).agg(F.sum("n").alias("df"))
+    texts = scratch.save(_texts(docs))
     # One class for each sequence of words; its smallest ids stand for it on either side.
-    member = scratch.save(prints.join(val, "doc_id", "left"))
+    member = scratch.save(texts.select("doc_id", "h", "n").distinct().join(val, "doc_id", "left"))
     listed_id, other_id = F.when(F.col("split").isNotNull(), F.col("doc_id")), F.when(F.col("split").isNull(), F.col("doc_id"))
     reps = scratch.save(member.groupBy("h", "n").agg(F.min(listed_id).alias("rv"), F.min(other_id).alias("rt")))
     equal = reps.where("rv is not null and rt is not null").select(F.col("rv").alias("a"), F.col("rt").alias("b"), F.lit(1.0).alias("share"))
-
-    seg = all_seg.join(reps.where("rv is not null").select(F.col("rv").alias("doc_id")), "doc_id", "left_semi").join(counts, "seg")
-    broken = F.floor(F.col("n") * F.lit(1 - agree) + F.lit(1e-9)).cast("int")
-    own = Window.partitionBy("doc_id")
-    ranked = seg.withColumn("rank", F.row_number().over(own.orderBy("df", "pos"))).withColumn("all", F.count(F.lit(1)).over(own))
-    spare = F.greatest(F.lit(1), F.least(F.lit(WHOLE), F.col("all") - broken))
-    keys = scratch.save(ranked.where(F.col("rank") <= broken + spare).select(F.col("doc_id").alias("a"), "seg", F.col("pos").alias("pa"), F.col("n").alias("na"), spare.cast("int").alias("need")))
-    # Lengths of a pair differ by a factor of 1 / agree at most: with this step in neighbouring classes.
-    step = F.lit(float(np.log(1 / agree)))
-    klass = lambda n: F.floor(F.log(F.col(n).cast("double")) / step).cast("int")
-    left = keys.withColumn("len", F.explode(F.array(klass("na") - 1, klass("na"), klass("na") + 1)))
-    train = reps.where("rt is not null").select(F.col("rt").alias("doc_id"))
-    right = _windows_in(docs, _filter_of(keys, "seg", filter_bits), agree).select(F.col("doc_id").alias("b"), "seg", F.col("pos").alias("pb"), F.col("n").alias("nb"), klass("n").alias("len"))
-    longest = F.greatest("na", "nb")
-    loss = longest - F.ceil(longest * F.lit(agree) - F.lit(1e-9))
-    allowed = (F.abs(F.col("pa") - F.col("pb")) <= loss) & (F.least("na", "nb") >= longest - loss)
-    common = left.join(right, ["seg", "len"]).where(allowed).groupBy("a", "b").agg(F.count_distinct("pa").alias("k"), F.max("need").alias("need"))
-    cand = scratch.save(common.where("k >= need").join(train.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b"))
-    in_pairs = scratch.save(cand.select(F.col("a").alias("doc_id")).union(cand.select("b")).distinct())
-    text = _words_of(docs, _filter_of(in_pairs, "doc_id", ID_BITS)).join(in_pairs, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    text = scratch.save(text)
-    wide = cand.join(text.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(
-        text.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b"
-    )
-    almost = _verified(wide, agree).join(equal.select("a", "b"), ["a", "b"], "left_anti")
-    links = scratch.save(equal.union(almost))
+    almost = _joined(_groups(texts, reps, agree, block_words), agree)
+    links = scratch.save(equal.union(almost.where("share < 1.0")))
+    scratch.drop(texts)
     v = member.where("split is not null").join(reps.select("h", "n", F.col("rv").alias("a")), ["h", "n"]).select(F.col("doc_id").alias("val_id"), "split", "a")
     t = member.where("split is null").join(reps.select("h", "n", F.col("rt").alias("b")), ["h", "n"]).select(F.col("doc_id").alias("train_id"), "b")
     return links.join(v, "a").join(t, "b").select("val_id", "split", "train_id", "share")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from corpusmill.llm import binpack, crosssplit, matches, survivors
+from corpusmill.llm import binpack, crosssplit, matches, segments, survivors
 from corpusmill.scratch import Scratch
 
 DOCS = "doc_id bigint, path string, source string, chars bigint, simhash bigint, sha1 string, title string, author_name string, pub_year int, hashed_at timestamp"
@@ -74,7 +74,7 @@ def test_banded_table_equals_the_full_one():
         b = [x for x in a if rng.random() > 0.15] + [rng.randint(0, 5) for _ in range(rng.randint(0, 3))]
         need = rng.randint(1, 30)
         full = _lcs(a, b)
-        assert crosssplit._lcs_at_least(a, b, need) == (full if full >= need else 0)
+        assert segments.lcs_at_least(len(a), segments.positions(a), b, need) == (full if full >= need else 0)
 
 
 def test_overlaps_equal_brute_force(spark):
@@ -93,7 +93,7 @@ def test_overlaps_equal_brute_force(spark):
     rows += [(900, None, None), (901, "s/e.txt", ""), (902, "s/b.txt", "  \n"), (903, "s/x.txt", "***"), (904, "s/y.txt", "***"), (None, "s/n.txt", "a b"), (0, "s/0.txt", texts[0])]
     val += [("s/x.txt", "val"), ("s/x.txt", "test"), ("s/b.txt", "val"), (None, "val"), ("s/none.txt", "val")]
     docs = spark.createDataFrame([(*r, "e") for r in rows], "doc_id bigint, path string, text string, split string")
-    got = crosssplit.cross_split_pairs(docs, spark.createDataFrame(val, "path string, split string"), Scratch(spark, "t"), filter_bits=20).collect()
+    got = crosssplit.cross_split_pairs(docs, spark.createDataFrame(val, "path string, split string"), Scratch(spark, "t")).collect()
     from corpusmill.functions.words import words
 
     want = set()
@@ -112,12 +112,70 @@ def test_overlaps_equal_brute_force(spark):
 def test_overlaps_of_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, path string, text string")
     val = spark.createDataFrame([], "path string, split string")
-    assert crosssplit.cross_split_pairs(docs, val, Scratch(spark, "t"), filter_bits=20).collect() == []
+    assert crosssplit.cross_split_pairs(docs, val, Scratch(spark, "t")).collect() == []
 
 
-@pytest.mark.parametrize("bits", [10, 20])
-def test_filter_has_all_its_keys(spark, bits):
+def _edited(rng, a, lost, come, spread, fresh):
+    """``a`` without ``lost`` words and with ``come`` new ones, at even distances or anywhere."""
+    n = len(a)
+    place = (lambda k, s: [int((i + s) * n / k) for i in range(k)]) if spread else (lambda k, s: rng.sample(range(n), k))
+    gone, new = set(place(lost, 0.25)) if lost else set(), sorted(place(come, 0.75)) if come else []
+    out = []
+    for i, x in enumerate(a):
+        if i not in gone:
+            out.append(x)
+        out += [next(fresh) for p in new if p == i]
+    return out
+
+
+def test_no_agreeing_pair_is_missed_wherever_the_edits_are():
     import numpy as np
 
-    f = crosssplit._filter_of(spark.range(500), "id", bits)
-    assert f.has(np.arange(500)).all()
+    rng, fresh = random.Random(8), itertools.count(10**6)
+    for spread in (True, False):
+        first, second, want = [], [], set()
+        for n in [*range(1, 60), 75, 100, 101, 150, 220, 400]:
+            for k in range(6):
+                a = [rng.randrange(300) for _ in range(n)]
+                lost = rng.randint(0, int(0.2 * n)) if k < 3 else int(0.2 * n)
+                come = rng.randint(0, int(0.25 * n)) if k < 3 else int(0.2 * n)
+                first.append(a), second.append(_edited(rng, a, lost, come, spread, fresh))
+                if k == 5:
+                    first[-1], second[-1] = second[-1], first[-1]
+        for i, (a, b) in enumerate(zip(first, second)):
+            if _lcs(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9:
+                want.add((i, i))
+        cut = lambda ts: (np.array([x for t in ts for x in t], np.int64).astype(np.int32), np.concatenate([[0], np.cumsum([len(t) for t in ts])]))
+        got = {(x, y) for x, y, _ in segments.SegmentIndex(*cut(first), 0.8).pairs(*cut(second))}
+        assert want <= got and len(want) > 250
+        assert all(_lcs(first[x], second[y]) >= 0.8 * max(len(first[x]), len(second[y])) - 1e-9 for x, y in got)
+
+
+def test_layouts_have_every_way_in_which_a_segment_survives():
+    for width, edits in segments.FAMILIES:
+        have = set(segments.LAYOUTS[(width, edits)])
+        for lost in range(edits + 1):
+            for come in range(edits - lost + 1):
+                for places in itertools.product(range(max(1, width - lost - 1)), repeat=come):
+                    at, p = [], 0
+                    for i in range(width - lost):
+                        at.append(p)
+                        p += 1 + places.count(i)
+                    subsets = {tuple(x - c[0] for x in c) for c in itertools.combinations(at, width - edits)}
+                    assert subsets & have
+
+
+@pytest.mark.parametrize("blocks", [(200, 300), (10**6, 10**6)])
+def test_blocks_of_any_size_give_the_same_pairs(spark, blocks):
+    rng, fresh = random.Random(9), (f"n{i}" for i in itertools.count())
+    vocab = [f"w{i}" for i in range(200)]
+    rows, want = [], set()
+    for i in range(30):
+        a = rng.choices(vocab, k=rng.choice([9, 40, 100]))
+        b = _edited(rng, a, int(0.13 * len(a)), int(0.13 * len(a)), True, fresh)
+        rows += [(i, f"s/{i}.txt", " ".join(a)), (100 + i, f"s/t{i}.txt", " ".join(b)), (200 + i, f"s/u{i}.txt", " ".join(b))]
+        want |= {(i, 100 + i), (i, 200 + i)} if _lcs(a, b) >= 0.8 * max(len(a), len(b)) else set()
+    docs = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    val = spark.createDataFrame([(f"s/{i}.txt", "val") for i in range(30)], "path string, split string")
+    got = [(r.val_id, r.train_id) for r in crosssplit.cross_split_pairs(docs, val, Scratch(spark, "t"), block_words=blocks).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 50
