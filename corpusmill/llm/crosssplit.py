@@ -28,6 +28,8 @@ from corpusmill.scratch import Scratch
 
 #: Words of evaluation texts and of other texts that meet in one group.
 BLOCK_WORDS = (1_000_000, 2_000_000)
+#: Rows of ids and groups that are broadcast at most, some 30 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def listed(docs: DataFrame, val_list: DataFrame, data_root: str = DATA_ROOT) -> DataFrame:
@@ -70,12 +72,15 @@ def _groups(texts: DataFrame, reps: DataFrame, agree: float, block_words: tuple[
     length = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1 / agree)))).cast("int")
     sized = reps.where("n > 0").withColumn("len", length)
     # One row for each length class: some dozens at any scale.
-    words = {r["len"]: (r["a"] or 0, r["b"] or 0) for r in sized.groupBy("len").agg(F.sum(F.when(F.col("rv").isNotNull(), F.col("n"))).alias("a"), F.sum(F.when(F.col("rt").isNotNull(), F.col("n"))).alias("b")).collect()}
-    parts = {}
-    for c, (_, b) in words.items():
-        a = sum(words.get(c + k, (0, 0))[0] for k in (-1, 0, 1))
+    totals = [f(F.when(F.col(c).isNotNull(), F.col("n"))) for c in ("rv", "rt") for f in (F.sum, F.count)]
+    words = {r[0]: [x or 0 for x in r[1:]] for r in sized.groupBy("len").agg(*totals).collect()}
+    parts, n_rows, n_words = {}, 0, 0
+    for c, (_, _, b, n_b) in words.items():
+        a, n_a = (sum(words.get(c + k, [0] * 4)[i] for k in (-1, 0, 1)) for i in (0, 1))
         if a and b:
             parts[c] = (-(-a // block_words[0]), -(-b // block_words[1]))
+            n_rows += n_a * parts[c][1] + n_b * parts[c][0]
+            n_words += a * parts[c][1] + b * parts[c][0]
     flat = [F.lit(x) for c in sorted(parts) for x in (c, parts[c][0])], [F.lit(x) for c in sorted(parts) for x in (c, parts[c][1])]
     n_a, n_b = (F.create_map(*f) if f else F.create_map().cast("map<int,int>") for f in flat)
 
@@ -91,7 +96,11 @@ def _groups(texts: DataFrame, reps: DataFrame, agree: float, block_words: tuple[
 
     near = F.array(F.col("len") - 1, F.col("len"), F.col("len") + 1)
     roles = side("rv", False, near).union(side("rt", True, F.array("len")))
-    return roles.join(texts.select("doc_id", "w"), "doc_id").select("grp", "other", "doc_id", "w")
+    if n_rows <= BROADCAST_ROWS:
+        roles = F.broadcast(roles)
+    # As many partitions as the words need, so that none grows with the data.
+    n = max(texts.sparkSession.sparkContext.defaultParallelism, n_words // block_words[0])
+    return texts.select("doc_id", "w").join(roles, "doc_id").select("grp", "other", "doc_id", "w").repartition(int(n), "grp")
 
 
 def _joined(groups: DataFrame, agree: float) -> DataFrame:
