@@ -8,11 +8,13 @@ with fewer hits can't match; the others are verified by dynamic programming on t
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import arrow_map
 from corpusmill.functions.words import batch_hashes, text_of_window, windows
@@ -59,7 +61,7 @@ class LeakIndex:
         return at[p], p - ends[:-1][at[p]], item, self.pos[which] - self.ends[:-1][item]
 
     def batch(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(text, item, first word, last word + 1) for each text and item it leaks; the words are the text's."""
+        """(text, item, first word, last word + 1) for each run of a text that matches an item; the words are the text's."""
         h, ends = batch_hashes(texts)
         t, p, item, q = self.hits(h, ends)
         if not len(t):
@@ -79,16 +81,16 @@ class LeakIndex:
         out = []
         for a, b in zip(first, np.r_[first[1:], len(pair)]):
             text, it = divmod(int(pair[a]), len(self.ids))
-            where = self._verify(h[ends[text] : ends[text + 1]], self.h[self.ends[it] : self.ends[it + 1]], p[a:b], q[a:b])
-            if where:
-                out.append((text, it, *where))
+            for x, y in self._runs(h[ends[text] : ends[text + 1]], self.h[self.ends[it] : self.ends[it + 1]], p[a:b], q[a:b]):
+                out.append((text, it, x, y))
         return out
 
-    def _verify(self, doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[int, int] | None:
+    def _runs(self, doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+        """Maximal runs of the text's words that matching windows cover, in order; between two of them are more words than may be misread in a window."""
         span, slack = self.span, 2 * self.span
         if len(item) < span:
-            return None
-        found = None
+            return []
+        found: list[tuple[int, int]] = []
         groups: dict[int, list[int]] = defaultdict(list)
         for x, y in zip(p.tolist(), q.tolist()):
             d = (x - y) // slack
@@ -109,53 +111,79 @@ class LeakIndex:
             near = doc[max(0, min(starts) + (d - 1) * slack) : max(starts) + (d + 1) * slack + span]
             seen = np.r_[0, np.cumsum(np.isin(item, near))]
             ok = sorted(s for s in starts if seen[s + span] - seen[s] >= self.need)
-            for order in (ok, ok[::-1]):  # the first and the last window that match
-                for s in order:
-                    a, b = max(0, s + (d - 1) * slack), s + (d + 1) * slack + span
-                    got = _fit(item[s : s + span].tolist(), doc[a:b].tolist(), self.need)
-                    if got:
-                        x, y = a + got[0], a + got[1]
-                        found = (min(x, found[0]), max(y, found[1])) if found else (x, y)
-                        break
-                else:
-                    break
-        return found
-
-
-def _fit(window: list[int], text: list[int], need: int) -> tuple[int, int] | None:
-    """Where in ``text`` at least ``need`` words of ``window`` stand in order, within one window's length and slack."""
-    slack = len(window) - need
-    n = len(window) + slack
+            known: dict[int, list[tuple[int, int]]] = {}
+
+            def places(s: int, d: int = d, known: dict = known) -> list[tuple[int, int]]:
+                if s not in known:
+                    a = max(0, s + (d - 1) * slack)
+                    known[s] = [(a + x, a + y) for x, y in _fits(item[s : s + span].tolist(), doc[a : s + (d + 1) * slack + span].tolist(), self.need)]
+                return known[s]
+
+            i = 0
+            while i < len(ok):
+                got = places(ok[i])
+                found += got
+                # The windows between two that match and touch cover nothing more, so the farthest one is next;
+                # where it matches at fewer places, a nearer one.
+                j = bisect_right(ok, ok[i] + self.need) - 1 if got else i
+                while j > i and len(places(ok[j])) < len(got):
+                    j -= 1
+                i = max(j, i + 1)
+        runs: list[tuple[int, int]] = []
+        for x, y in sorted(found):
+            if runs and x <= runs[-1][1] + span - self.need:
+                runs[-1] = (runs[-1][0], max(y, runs[-1][1]))
+            else:
+                runs.append((x, y))
+        return runs
+
+
+def _fits(window: list[int], text: list[int], need: int) -> list[tuple[int, int]]:
+    """Where in ``text`` at least ``need`` words of ``window`` stand in order within one window's length and slack, one place after another."""
+    n = 2 * len(window) - need
     here = set(window)
     flag = [x in here for x in text]
     if sum(flag) < need:
-        return None
+        return []
     full = (1 << len(window)) - 1
     masks: dict[int, int] = defaultdict(int)
     for i, x in enumerate(window):
         masks[x] |= 1 << i
-    count = sum(flag[:n])
-    for a in range(max(1, len(text) - n + 1)):
+    out = []
+    count, free = sum(flag[:n]), 0
+    for a in range(len(text) - need + 1):
         if a:
             count += (flag[a + n - 1] if a + n - 1 < len(text) else 0) - flag[a - 1]
-        if count < need or not flag[a]:
+        if a < free or count < need or not flag[a]:
             continue
-        v = full
+        v, end, had = full, 0, 0
         for k, x in enumerate(text[a : a + n]):
             u = v & masks.get(x, 0)
             v = ((v + u) | (v - u)) & full
-            if len(window) - v.bit_count() >= need:
-                return a, a + k + 1
-    return None
-
-
-def _index(items: DataFrame, **how) -> LeakIndex:
-    return LeakIndex([(r[0], r[1]) for r in items.select("item_id", "text").collect()], **how)
+            got = len(window) - v.bit_count()
+            if end and got == had:
+                break  # the words right behind the needed ones go along while they match, too
+            had = got
+            if got >= need:
+                end = a + k + 1
+        if end:
+            out.append((a, end))
+            free = end
+    return out
+
+
+def _index(items: DataFrame, max_words: int = 4_000_000, **how) -> LeakIndex:
+    """The index of all items; their words are counted by Spark before any text comes to the driver."""
+    n = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    if n > max_words + 2 * items.count():
+        raise ValueError(f"the items have {n} words; at most {max_words} are broadcast")
+    return LeakIndex([(r[0], r[1]) for r in items.select("item_id", "text").collect()], max_words=max_words, **how)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``doc_id``, ``item_id``, ``first_word``, ``end_word``: which items each document leaks, and where.
 
+    One row for each maximal run of words that matching windows cover, so an item quoted twice has two rows.
     Null and empty texts leak nothing, items of less than ``span`` words can't be leaked; items with
     a null id are left out. ``docs`` with repeated rows give repeated rows.
     """
@@ -165,7 +193,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
         ix = index.value
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            got = ix.batch(b.column("text").to_pylist())
+            got = ix.batch(b.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[t] for t, *_ in got], pa.int64()), pa.array([int(ix.ids[i]) for _, i, *_ in got], pa.int64()), pa.array([a for *_, a, _ in got], pa.int64()), pa.array([e for *_, e in got], pa.int64())],
                 ["doc_id", "item_id", "first_word", "end_word"],
@@ -177,7 +205,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 def remove_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``doc_id``, ``text``, ``n_removed``: texts without the leaked words, the rest unchanged.
 
-    Null texts stay null. The words between the first and the last leaked word of an item go.
+    Null texts stay null. The words of every run of :func:`leaked_items` go, what stands between two runs stays.
     """
     from corpusmill.functions.words import DIVIDED, WORD
 

@@ -22,8 +22,10 @@ def _news_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("seg_id", "m.paper", "m.kind", "m.n_words", "m.n_repeated", "m.share")
 
 
-def _over(shares: DataFrame, group: list[str]) -> DataFrame:
-    limits = repetition.adaptive_thresholds(repetition.share_sketches(shares, group), group)
+def _over(shares: DataFrame, group: list[str], scratch: Scratch, **how) -> DataFrame:
+    """The rows over their group's threshold. Shares are kept in a table, so that texts are read once."""
+    shares = scratch.save(shares)
+    limits = repetition.adaptive_thresholds(repetition.share_sketches(shares, group), group, **how)
     return repetition.over_threshold(shares, limits, group)
 
 
@@ -91,14 +93,16 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No adaptive threshold is over 0.3, so the fixed share that defines a case is checked on what they let through."""
-    return _over(_news_shares(spark, sf_dir), _NEWS_GROUP).where("n_repeated * 10 >= n_words * 3 and n_words > 0").select("seg_id")
+    """Thresholds are kept at 0.3 at most, as a case is defined by that share; on what they let through it is checked itself."""
+    over = _over(_news_shares(spark, sf_dir), _NEWS_GROUP, Scratch(spark, "repetition"), most=0.3)
+    return over.where("n_repeated * 10 >= n_words * 3 and n_words > 0").select("seg_id")
 
 
 def p2_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over the threshold of their own language and source, wherever that lies."""
     docs = table(spark, sf_dir, "documents").withColumns({"language": F.lower(F.coalesce("lang", F.lit("und"))), "origin": F.coalesce("source", F.lit("none"))})
     shares = repetition.repeated_share(docs, "text", ["doc_id", "language", "origin"])
-    return _over(shares, ["language", "origin"]).select("doc_id", "language", "origin", "n_words", "n_repeated", "threshold")
+    return _over(shares, ["language", "origin"], Scratch(spark, "repetition")).select("doc_id", "language", "origin", "n_words", "n_repeated", "threshold")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +117,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with twenty words of an item in sequence, none of them changed: a part of p9_found."""
+    got = leak.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), error=21)
+    return got.select("doc_id", "item_id").distinct()
+
+
 def p9_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -125,16 +135,31 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = records.QUERIES | {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_removed, p10_found, p10_restored)}
+QUERIES = records.QUERIES | {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_exact, p9_removed, p10_found, p10_restored)}
+
+def _shares(last: str, key: str) -> str:
+    return f"""
+WITH last AS ({last}),
+w AS (SELECT {key}, regexp_extract_all(lower(coalesce(content, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM last WHERE k = 1),
+g AS (SELECT {key}, i, row_number() OVER (PARTITION BY {key}, array_to_string(w[i:i + 3], ' ') ORDER BY i) AS nth
+FROM (SELECT {key}, w, unnest(range(1, len(w) - 2)) AS i FROM w)),
+r AS (SELECT {key}, count(DISTINCT p) AS n FROM (SELECT {key}, unnest(range(i, i + 4)) AS p FROM g WHERE nth > 1) GROUP BY {key}),
+shares AS (SELECT w.{key}, len(w.w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_repeated FROM w LEFT JOIN r USING ({key}))"""
+
 
-_SHARES = """
-WITH last AS (SELECT seg_id, content, row_number() OVER (PARTITION BY seg_id ORDER BY loaded_at DESC NULLS LAST) AS k FROM news_segments WHERE seg_id IS NOT NULL),
-w AS (SELECT seg_id, regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}]+') AS w FROM last WHERE k = 1),
-g AS (SELECT seg_id, i, row_number() OVER (PARTITION BY seg_id, array_to_string(w[i:i + 3], ' ') ORDER BY i) AS nth
-FROM (SELECT seg_id, w, unnest(range(1, len(w) - 2)) AS i FROM w)),
-r AS (SELECT seg_id, count(DISTINCT p) AS n FROM (SELECT seg_id, unnest(range(i, i + 4)) AS p FROM g WHERE nth > 1) GROUP BY seg_id),
-shares AS (SELECT w.seg_id, len(w.w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_repeated FROM w LEFT JOIN r USING (seg_id))"""
+_SHARES = _shares("SELECT seg_id, content, row_number() OVER (PARTITION BY seg_id ORDER BY loaded_at DESC NULLS LAST) AS k FROM news_segments WHERE seg_id IS NOT NULL", "seg_id")
+_ADAPTIVE = f"""{_shares("SELECT doc_id, text AS content, 1 AS k FROM documents", "doc_id")},
+grouped AS (SELECT s.*, lower(coalesce(lang, 'und')) AS language, coalesce(source, 'none') AS origin, n_repeated / greatest(n_words, 1)::DOUBLE AS share FROM shares s JOIN documents USING (doc_id)),
+sketch AS (SELECT language, origin, floor(share * 1000)::INTEGER AS bin, count(*) AS n FROM grouped GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY language, origin ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY language, origin) AS whole FROM sketch),
+limits AS (SELECT language, origin, greatest(0.05::DOUBLE, least(1.0::DOUBLE, min(bin) / 1000.0::DOUBLE)) AS threshold FROM run WHERE cum >= whole * 0.9::DOUBLE GROUP BY language, origin)"""
+_WORDS = r"regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({0}, ''), '{1}', '\1\2', 'g'), '{1}', '\1\2', 'g')), '[\p{{L}}\p{{N}}]+')"
+_DIVIDED = r"([\p{L}\p{N}])[-¬\x{AD}‐‑=][\t-\r\x1c-\x1f\x{85}\p{Z}]*\n[\t-\r\x1c-\x1f\x{85}\p{Z}]*([\p{L}\p{Nl}\p{No}])"
 SQL = records.SQL | {
     "p2_shares": f"{_SHARES} SELECT seg_id, n_words, n_repeated FROM shares",
+    "p2_adaptive": f"{_ADAPTIVE} SELECT doc_id, g.language, g.origin, n_words, n_repeated, threshold FROM grouped g JOIN limits l ON l.language = g.language AND l.origin = g.origin WHERE share >= threshold",
+    "p9_exact": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text", _DIVIDED)} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("text", _DIVIDED)} AS w FROM eval_items),
+runs AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 19], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[k:k + 19], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d)) JOIN runs USING (r)""",
     "p2_found": f"{_SHARES} SELECT seg_id FROM shares WHERE n_words > 0 AND n_repeated * 10 >= n_words * 3",
 }

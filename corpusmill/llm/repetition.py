@@ -19,7 +19,7 @@ from corpusmill.functions.words import batch_hashes, text_of_window, windows
 BINS = 1000
 
 
-def batch_shares(texts: list[str | None], n: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def batch_shares(texts: list[str | None] | pa.Array, n: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and of repeated words for each text."""
     h, ends = batch_hashes(texts, join_divided=False)
     count = np.diff(ends)
@@ -49,7 +49,7 @@ def repeated_share(df: DataFrame, text: str, keep: list[str], n: int = 4) -> Dat
 
     def run(batches):
         for b in batches:
-            n_words, n_rep = batch_shares(b.column("_text").to_pylist(), n)
+            n_words, n_rep = batch_shares(b.column("_text"), n)
             share = n_rep / np.maximum(n_words, 1)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in keep], pa.array(n_words, pa.int64()), pa.array(n_rep, pa.int64()), pa.array(share, pa.float64())],
@@ -66,12 +66,12 @@ def share_sketches(shares: DataFrame, group: list[str]) -> DataFrame:
 
 
 def adaptive_thresholds(
-    sketches: DataFrame, group: list[str], quantile: float = 0.9, least: float = 0.05, most: float = 0.3
+    sketches: DataFrame, group: list[str], quantile: float = 0.9, least: float = 0.05, most: float = 1.0
 ) -> DataFrame:
     """``group``, ``threshold``: the quantile of the share, within [``least``, ``most``].
 
-    ``least`` keeps a clean source from flagging its own ordinary phrases, ``most`` keeps a source
-    that is mostly spam from passing for normal. The rows are one for each group and bin, so the
+    ``least`` keeps a clean source from flagging its own ordinary phrases; with ``most`` a source
+    that is mostly spam can be kept from passing for normal. The rows are one for each group and bin, so the
     window is over at most ``BINS`` + 1 rows for each group.
     """
     w = Window.partitionBy(*group).orderBy("bin")

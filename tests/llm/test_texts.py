@@ -84,6 +84,17 @@ def test_only_shares_that_reach_the_threshold_are_kept(spark):
     assert sorted(r.id for r in kept.collect()) == [2, 4, 5] and kept.columns == [*shares.columns, "threshold"]
 
 
+def test_each_group_has_its_own_threshold(spark):
+    rows = [("clean", i, 0.01 * (i % 10)) for i in range(100)] + [("spam", i, 0.5 + 0.004 * i) for i in range(100)]
+    shares = spark.createDataFrame(rows, "source string, id bigint, share double")
+    limits = repetition.adaptive_thresholds(repetition.share_sketches(shares, ["source"]), ["source"])
+    t = {r.source: r.threshold for r in limits.collect()}
+    assert t["clean"] < 0.3 < t["spam"]
+    kept = repetition.over_threshold(shares, limits, ["source"])
+    n = {r.source: r["count"] for r in kept.groupBy("source").count().collect()}
+    assert 10 <= n["clean"] <= 20 and 10 <= n["spam"] <= 11
+
+
 def test_leaks_with_misread_words(spark):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(500)]
@@ -105,6 +116,42 @@ def test_leaks_with_misread_words(spark):
         leak.LeakIndex([(1, "a b c")], max_words=2)
 
 
+def test_two_passages_of_an_item_are_two_runs(spark):
+    rng = random.Random(14)
+    vocab = [f"w{i}" for i in range(3000)]
+    item = rng.choices(vocab, k=120)
+    between = rng.choices(vocab, k=3000)
+    whole = ["a", *item[:50], *between, *item[70:120], "b"]
+    twice = [*rng.choices(vocab, k=5), *item[10:60], "x", "y", "z", *item[10:35], *rng.choices(vocab, k=30)]
+    df = spark.createDataFrame([(1, " ".join(whole)), (2, " ".join(twice)), (3, " ".join(item))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.first_word, r.end_word) for r in leak.leaked_items(df, items).collect())
+    assert got[0][:2] == (1, 1) and abs(got[0][2] - 51) <= 2 and abs(got[1][1] - 3051) <= 2 and got[1][2] == 3101 and len([g for g in got if g[0] == 1]) == 2
+    at_end = spark.createDataFrame([(1, " ".join([*between[:90], *item[30:50]])), (2, " ".join([*item[30:50], *between[:90]])), (3, " ".join([*between[:90], *item[30:47]]))], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.first_word, r.end_word) for r in leak.leaked_items(at_end, items).collect()) == [(1, 90, 110), (2, 0, 20)]
+    gone = {r.doc_id: r for r in leak.remove_leaks(df, items).collect()}
+    assert 96 <= gone[1].n_removed <= 104 and set(between[2:-2]) <= set(words(gone[1].text)) and gone[3].text == ""
+    assert gone[2].n_removed >= 74 and not set(words(gone[2].text)) & set(item[12:58])
+
+
+def test_runs_are_what_matching_windows_cover():
+    rng = random.Random(15)
+    ix = leak.LeakIndex([(1, " ".join(f"i{k}" for k in range(60)))])
+    item = ix.h.tolist()
+    for _ in range(40):
+        text = []
+        for _ in range(3):
+            a = rng.randrange(40)
+            text += [f"n{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30))] + [f"i{k}" if rng.random() > 0.06 else "zz" for k in range(a, min(60, a + rng.randint(10, 45)))]
+        doc = leak.batch_hashes([" ".join(text)])[0].tolist()
+        cover = set()
+        for s in range(41):
+            for a, e in leak._fits(item[s : s + 20], doc, 18):
+                cover.update(range(a, e))
+        got = {w for _, _, a, e in ix.batch([" ".join(text)]) for w in range(a, e)}
+        assert len(got - cover) <= 6 and len(cover - got) <= 6 and (not cover or got)
+
+
 def test_wrong_decoding_round_trip(spark):
     clean = ["Le café était fermé à l’été “très” tôt, £5 — naïve garçon", "Die Straße über Köln, „schön“", "não há irmã, IRMÃ NÃO é ação"] * 20
     rng = random.Random(5)
