@@ -92,6 +92,7 @@ class LeakIndex:
             return []
         found: list[tuple[int, int]] = []
         groups: dict[int, list[int]] = defaultdict(list)
+        once = len(np.unique(q)) == len(q)
         for x, y in zip(p.tolist(), q.tolist()):
             d = (x - y) // slack
             groups[d].append(y)
@@ -123,10 +124,10 @@ class LeakIndex:
             while i < len(ok):
                 got = places(ok[i])
                 found += got
-                # The windows between two that match and touch cover nothing more, so the farthest one is next;
-                # where it matches at fewer places, a nearer one.
-                j = bisect_right(ok, ok[i] + self.need) - 1 if got else i
-                while j > i and len(places(ok[j])) < len(got):
+                # The windows between two that match and touch cover nothing more, so the farthest one is next,
+                # unless the text quotes the item again.
+                j = bisect_right(ok, ok[i] + self.need) - 1 if got and once else i
+                while j > i and not places(ok[j]):
                     j -= 1
                 i = max(j, i + 1)
         runs: list[tuple[int, int]] = []
