@@ -2,35 +2,25 @@
 
 Statistics are taken for each line and summed up for the record, as a record may hold both. The trees
 learn from weak labels: records in which nearly all or nearly no words stand in lines that look
-structural. Their probabilities are calibrated on the readers' labels, which are not used for training.
+structural. Their probabilities are calibrated on one half of the readers' labelled records and checked on
+the other half; neither is used for training. Common words are not listed but learned: those that most
+documents of a language hold.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import arrow_map
 from corpusmill.llm.trees import BoostedTrees
+from corpusmill.scratch import Scratch
 
-# Function words of the languages of the corpus.
-COMMON = frozenset(
-    """a about after all also an and any are as at be been before being but by can could did do down during each every few for from
-    had has have he her here hers him his how i if in into is it its like made may me men might more most must my neither never no none nor not
-    nothing now of off on one only or other our out over own said seen shall she should so some such than that the their them then there these they
-    this those though through to too under until up upon us very was we were what when where which while who whose will with without would
-    yet you your thus near two much many
-    le la les un une des du de et en dans que qui ne pas pour par sur au aux ce cette ces il elle ils elles on nous vous se sa son ses
-    était avait fut est été avec mais où ni plus très dit sans l d qu n j c s à côté avant
-    der die das den dem des ein eine einen einem einer und oder nicht ist war wurde wurden von zu zum zur im am auf mit für bei nach sich sie er es wir
-    ihr so nur wie als daß dass hatte hat haben wäre ohne man sah über gegen aber auch noch diese dieser später während worden oft
-    o os as um uma uns umas do da dos das no na nos nas em e é que não por para com se ao aos à às mais mas era foi foram são
-    este esta eis até sem tudo quando sua seu dizia""".split()
-)
 _SHORT = frozenset("mr mrs dr st esq vs nth th nd rd lb cwt hm hms pp mme mlle vol vols no nos".split())
 _EDGE = ".,;:!?\"“”‘’„()«»'[]*_"
 _NUMBER = re.compile(r"[£$]?\d[\d/%.,-]*(?:s|d|st|nd|rd|th|mo|to|vo)?")
@@ -41,12 +31,12 @@ _JOINED = re.compile("[—–’'-]+")
 _KINDS = 5  # common word, other word, number, junk, single letter or dash
 
 
-def _kind_of(token: str) -> int:
+def _kind_of(token: str, common: frozenset[str]) -> int:
     low = token.lower()
     t = low.strip(_EDGE)
     if not t:
         return 4 if len(low) == 1 and low not in "[]*_" else 3
-    if t in COMMON:
+    if t in common:
         return 0
     if _NUMBER.fullmatch(t):
         return 2
@@ -55,7 +45,7 @@ def _kind_of(token: str) -> int:
         return 4
     if _SYMBOL.search(t) or _TORN.search(t) or max(map(len, parts)) > 22:
         return 3
-    if any(x in COMMON for x in parts):
+    if any(x in common for x in parts):
         return 0
     if _VOWEL.search(t):
         # Misread and garbled words stay words: a single digit for a letter, or characters that no plain text has.
@@ -77,7 +67,11 @@ class _Memo(dict):
         return k
 
 
-_kind = _Memo(_kind_of).__getitem__
+def kinds_by(common: frozenset[str]):
+    """What kind a token is, given the common words."""
+    return _Memo(lambda t: _kind_of(t, common)).__getitem__
+
+
 _bullet = _Memo(lambda t: int(t in ("*", "•", "—", "–", "-", "Lot") or bool(re.fullmatch(r"\d+[.)]|[A-Z][a-z]{1,2}\.", t)))).__getitem__
 _STOP = frozenset(".!?,;:”\"'-’)")
 _DOTS = re.compile(r"(?:\. ?){4,}")
@@ -88,7 +82,7 @@ FEATURES = (
 )
 
 
-def _line_totals(text: str) -> tuple[list[int], list[int], int, int, int]:
+def _line_totals(text: str, kind) -> tuple[list[int], list[int], int, int, int]:
     """Kinds of all tokens, number of tokens of each line, and lines that end with a mark, end with a number, begin as an entry."""
     kinds: list[int] = []
     lens: list[int] = []
@@ -96,7 +90,7 @@ def _line_totals(text: str) -> tuple[list[int], list[int], int, int, int]:
     for line in text.split("\n"):
         toks = line.split()
         if toks:
-            kinds.extend(map(_kind, toks))
+            kinds.extend(map(kind, toks))
             lens.append(len(toks))
             last = toks[-1]
             stops += last[-1] in _STOP
@@ -105,7 +99,7 @@ def _line_totals(text: str) -> tuple[list[int], list[int], int, int, int]:
     return kinds, lens, stops, digits, entries
 
 
-def batch_statistics(texts: list[str | None]) -> np.ndarray:
+def batch_statistics(texts: list[str | None], kind) -> np.ndarray:
     """One row of ``FEATURES`` for each text; zeros for null and empty ones. Long lines count by their tokens."""
     kinds: list[int] = []
     lens: list[int] = []
@@ -115,7 +109,7 @@ def batch_statistics(texts: list[str | None]) -> np.ndarray:
         if t:
             if "\r" in t:
                 t = t.replace("\r\n", "\n").replace("\r", "\n")
-            k, n, stops, digits, entries = _line_totals(t)
+            k, n, stops, digits, entries = _line_totals(t, kind)
             kinds.extend(k)
             lens.extend(n)
             lines, tokens = max(1, len(n)), len(k)
@@ -162,60 +156,131 @@ def batch_statistics(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def text_statistics(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = 0.4, least: float = 0.01) -> frozenset[str]:
+    """Words that at least ``share`` of a language's documents hold, of every language with ``least`` of all documents.
+
+    All texts are counted; null languages and texts are left out. As a document holds only so many different words,
+    few can be in so many documents, so what comes to the driver doesn't grow with the corpus.
+    """
+    import pyarrow.compute as pc
+
+    def run(batches):
+        n: dict[tuple[str, str], int] = {}
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
+            n.clear()
+            return out
+
+        for b in batches:
+            for name in pc.unique(b.column("lang")).to_pylist():
+                texts = b.column("text").filter(pc.equal(b.column("lang"), name))
+                n[name, ""] = n.get((name, ""), 0) + len(texts)
+                parts = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\pL\pN]+")
+                coded = parts.flatten().dictionary_encode()
+                doc = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                k = np.bincount(np.unique(doc * max(1, len(coded.dictionary)) + code) % max(1, len(coded.dictionary)), minlength=len(coded.dictionary))
+                for w, c in zip(coded.dictionary.to_pylist(), k.tolist()):
+                    if w:
+                        n[name, w] = n.get((name, w), 0) + c
+            if len(n) > 500_000:
+                yield rows()
+        yield rows()
+
+    known = docs.select(F.lower(F.trim(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    counts = arrow_map(known, run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = Scratch(docs.sparkSession, "words").save(counts)
+    # The number of a language's documents is counted as that of the empty word. Few languages have a share.
+    total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    large = counts.where((F.col("word") == "") & (F.col("n") >= least * total)).collect() if total else []
+    held = F.lit(False)
+    for r in large:
+        held = held | ((F.col("lang") == r["lang"]) & (F.col("n") >= r["n"] * share))
+    return frozenset(r["word"] for r in counts.where(held & (F.col("word") != "")).select("word").distinct().collect())
+
+
+def text_statistics(df: DataFrame, keep: list[str], text: str, common: frozenset[str]) -> DataFrame:
     """``keep`` and one DOUBLE column for each of ``FEATURES``. Whole texts are read; null and empty ones give zeros."""
     rows = df.select(*keep, F.col(text).alias("_text"))
 
     def run(batches):
+        kind = kinds_by(common)
         for b in batches:
-            x = batch_statistics(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(x[:, i].astype(np.float32)) for i in range(x.shape[1])]], [*keep, *FEATURES])
+            x = batch_statistics(b.column("_text").to_pylist(), kind)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(x[:, i]) for i in range(x.shape[1])]], [*keep, *FEATURES])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return arrow_map(rows, run, f"{kinds}, " + ", ".join(f"{c} float" for c in FEATURES))
+    return arrow_map(rows, run, f"{kinds}, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
-def weak_label(stats: DataFrame) -> DataFrame:
-    """Adds ``weak``: 1 for structure, 0 for prose, null where the rules don't agree."""
-    structure = (F.col("structural") > 0.75) & ((F.col("common_share") < 0.2) | (F.col("junk_share") > 0.3) | (F.col("number_share") > 0.3))
-    prose = (F.col("structural") < 0.3) & (F.col("common_share") > 0.27)
-    return stats.withColumn("weak", F.when(structure, 1).when(prose, 0))
+def weak_labels(x: np.ndarray) -> np.ndarray:
+    """1 for structure, 0 for prose, -1 where the rules don't agree."""
+    f = {c: x[:, i] for i, c in enumerate(FEATURES)}
+    structure = (f["structural"] > 0.75) & ((f["common_share"] < 0.2) | (f["junk_share"] > 0.3) | (f["number_share"] > 0.3))
+    prose = (f["structural"] < 0.3) & (f["common_share"] > 0.27)
+    return np.where(structure, 1, np.where(prose, 0, -1))
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.array([[r[c] for c in FEATURES] for r in rows], np.float64).reshape(-1, len(FEATURES))
+@dataclass
+class QualityModel:
+    """Trees, the common words of their statistics, and how far they agree with labels that were held out."""
 
+    trees: BoostedTrees
+    common: frozenset[str]
+    n_trained: int = 0
+    n_calibrated: int = 0
+    n_held_out: int = 0
+    n_agree: int = 0
 
-def train(stats: DataFrame, labels: DataFrame, least_tokens: int = 12, max_rows: int = 20_000, max_labels: int = 20_000) -> BoostedTrees:
+
+def train(
+    records: DataFrame, labels: DataFrame, common: frozenset[str], least_tokens: int = 12, max_records: int = 40_000, max_labels: int = 10_000
+) -> QualityModel:
     """Trees from weak labels, calibrated on readers' labels.
 
-    :param stats: ``tab``, ``rec_id`` and the features.
+    :param records: ``tab``, ``rec_id``, ``text``.
     :param labels: ``tab``, ``rec_id``, ``kind_label``; a record counts as structure if more than half of its labels are not ``prose``.
-    :param max_rows: bound of the sample of weakly labelled records of each class, chosen by hash.
-    :param max_labels: bound of the readers' labels used for calibration, chosen by hash.
+    :param max_records: bound of the sample of records without labels, chosen by hash on the executors.
+    :param max_labels: bound of the labelled records, chosen alike; one half calibrates, the other is held out.
     """
-    weak = weak_label(stats.where(F.col("n_tokens") >= least_tokens)).where("weak is not null")
-    by = F.xxhash64("tab", "rec_id")
-    got = [weak.where(f"weak = {k}").orderBy(by, *FEATURES).limit(max_rows).collect() for k in (0, 1)]
-    y = np.r_[np.zeros(len(got[0])), np.ones(len(got[1]))]
-    model = BoostedTrees().fit(_matrix([*got[0], *got[1]]), y)
+    by = F.xxhash64("tab", "rec_id", F.lit(5))
+
+    def below(share: float) -> Column:
+        return F.pmod(by, F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+
     votes = labels.where("tab is not null and rec_id is not null and kind_label is not null").groupBy("tab", "rec_id").agg(
         F.avg(F.when(F.col("kind_label") == "prose", 0.0).otherwise(1.0)).alias("v")
     ).where("v <> 0.5")
-    held = stats.join(votes, ["tab", "rec_id"]).where(F.col("n_tokens") >= least_tokens).orderBy(by, *FEATURES).limit(max_labels).collect()
-    if held:
-        model.calibrate(_matrix(held), np.array([r["v"] > 0.5 for r in held], float))
+    votes = votes.where(below(max_labels / max(1, votes.count())))
+    share = max_records / max(1, records.select("rec_id").count())
+    # The labelled records are at most ``max_labels`` by their count.
+    chosen = records.join(F.broadcast(votes), ["tab", "rec_id"], "left").where(F.col("v").isNotNull() | below(share))
+    got = text_statistics(chosen.withColumn("half", F.pmod(F.xxhash64("tab", "rec_id", F.lit(9)), F.lit(2))), ["tab", "rec_id", "v", "half"], "text", common).where(F.col("n_tokens") >= least_tokens)
+    t = got.toArrow().sort_by([("tab", "ascending"), ("rec_id", "ascending"), *[(c, "ascending") for c in FEATURES]])
+    x = np.stack([t.column(c).to_numpy() for c in FEATURES], 1).reshape(-1, len(FEATURES))
+    v, half = t.column("v").to_numpy(zero_copy_only=False).astype(float), t.column("half").to_numpy()
+    weak = weak_labels(x)
+    own = np.isnan(v) & (weak >= 0)
+    model = QualityModel(BoostedTrees().fit(x[own], weak[own].astype(float)), common, int(own.sum()))
+    seen, out = ~np.isnan(v) & (half == 0), ~np.isnan(v) & (half == 1)
+    if seen.any():
+        model.trees.calibrate(x[seen], (v[seen] > 0.5).astype(float))
+    model.n_calibrated, model.n_held_out = int(seen.sum()), int(out.sum())
+    if out.any():
+        model.n_agree = int(((model.trees.probability(x[out]) >= 0.5) == (v[out] > 0.5)).sum())
     return model
 
 
-def structure_probability(stats: DataFrame, model: BoostedTrees) -> DataFrame:
-    """``tab``, ``rec_id``, ``n_tokens``, ``probability`` of being mostly a list, a table or junk."""
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+def structure_probability(records: DataFrame, model: QualityModel) -> DataFrame:
+    """``tab``, ``rec_id``, ``n_tokens``, ``probability`` of being mostly a list, a table or junk; texts are read once, in one narrow pass."""
+    shared = records.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
+        kind = kinds_by(m.common)
         for b in batches:
-            x = np.stack([np.asarray(b.column(c)).astype(np.float64) for c in FEATURES], 1)
-            yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("rec_id"), b.column("n_tokens"), pa.array(m.probability(x))], ["tab", "rec_id", "n_tokens", "probability"])
+            x = batch_statistics(b.column("text").to_pylist(), kind)
+            yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("rec_id"), pa.array(x[:, 0]), pa.array(m.trees.probability(x))], ["tab", "rec_id", "n_tokens", "probability"])
 
-    return arrow_map(stats, run, "tab string, rec_id bigint, n_tokens float, probability double")
+    return arrow_map(records.select("tab", "rec_id", "text"), run, "tab string, rec_id bigint, n_tokens double, probability double")

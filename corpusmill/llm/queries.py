@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,16 +39,18 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.union(papers).where("rec_id is not null")
 
 
-def _structure(spark: SparkSession, sf_dir: str, scratch: Scratch, tabs: dict[str, tuple[str, str]]) -> DataFrame:
-    """``tab``, ``rec_id``, ``n_tokens``, ``probability`` for the tables' records; the texts are read once."""
-    stats = None
-    for tab, (key, text) in tabs.items():
-        rows = table(spark, sf_dir, tab).select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), F.col(text).alias("text")).where("rec_id is not null")
-        part = quality.text_statistics(rows, ["tab", "rec_id"], "text")
-        stats = part if stats is None else stats.union(part)
-    stats = scratch.save(stats)
-    model = quality.train(stats, table(spark, sf_dir, "quality_labels"))
-    return quality.structure_probability(stats, model)
+#: Tables with texts of mixed quality: key and text.
+_MIXED = {"documents": ("doc_id", "text"), "news_segments": ("seg_id", "content")}
+
+
+def _records(spark: SparkSession, sf_dir: str, *tabs: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("tab"), F.col(k).alias("rec_id"), F.col(c).alias("text")).where("rec_id is not null") for t, (k, c) in _MIXED.items() if t in tabs]
+    return reduce(DataFrame.union, parts)
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    """The one model of text quality, of both tables."""
+    return quality.train(_records(spark, sf_dir, *_MIXED), table(spark, sf_dir, "quality_labels"), quality.common_words(table(spark, sf_dir, "documents")))
 
 
 def _cases(probability: DataFrame) -> DataFrame:
@@ -54,11 +58,27 @@ def _cases(probability: DataFrame) -> DataFrame:
 
 
 def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.text_statistics(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    docs = table(spark, sf_dir, "documents")
+    return quality.text_statistics(docs, ["doc_id"], "text", quality.common_words(docs))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that need no list of words."""
+    return quality.text_statistics(table(spark, sf_dir, "documents"), ["doc_id"], "text", frozenset()).select("doc_id", "n_tokens", "mean_word_length", "symbol_ratio", "comma_ratio", "end_stop_lines", "tokens_per_line")
+
+
+def p5_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in sorted(quality.common_words(table(spark, sf_dir, "documents")))], "word string")
 
 
 def p5_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _structure(spark, sf_dir, Scratch(spark, "quality"), {"documents": ("doc_id", "text"), "news_segments": ("seg_id", "content")})
+    return quality.structure_probability(_records(spark, sf_dir, *_MIXED), _quality(spark, sf_dir))
+
+
+def p5_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: records that trained and calibrated the model, and how many of those held out agree with their label."""
+    m = _quality(spark, sf_dir)
+    return spark.createDataFrame([(m.n_trained, m.n_calibrated, m.n_held_out, m.n_agree)], "n_trained bigint, n_calibrated bigint, n_held_out bigint, n_agree bigint")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +99,7 @@ def _noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, read, furniture, _, lexicon = _noise(spark, sf_dir)
-    structure = _cases(_structure(spark, sf_dir, Scratch(spark, "quality"), {"news_segments": ("seg_id", "content")}))
+    structure = _cases(quality.structure_probability(_records(spark, sf_dir, "news_segments"), _quality(spark, sf_dir)))
     return scans.noise_kinds(read, furniture, scans.rare_hits(read, lexicon)).join(structure, ["tab", "rec_id"], "left_anti")
 
 
@@ -135,7 +155,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = records.QUERIES | {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_exact, p9_removed, p10_found, p10_restored)}
+QUERIES = records.QUERIES | {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p5_counts, p5_common_words, p5_held_out, p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_exact, p9_removed, p10_found, p10_restored)}
 
 def _shares(last: str, key: str) -> str:
     return f"""
@@ -153,10 +173,21 @@ grouped AS (SELECT s.*, lower(coalesce(lang, 'und')) AS language, coalesce(sourc
 sketch AS (SELECT language, origin, floor(share * 1000)::INTEGER AS bin, count(*) AS n FROM grouped GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY language, origin ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY language, origin) AS whole FROM sketch),
 limits AS (SELECT language, origin, greatest(0.05::DOUBLE, least(1.0::DOUBLE, min(bin) / 1000.0::DOUBLE)) AS threshold FROM run WHERE cum >= whole * 0.9::DOUBLE GROUP BY language, origin)"""
+_WS = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
+_TOKENS = f"list_filter(regexp_split_to_array({{0}}, '[{_WS}]+'), lambda w: w <> '')".replace("{85}", "{{85}}").replace("{Z}", "{{Z}}")
 _WORDS = r"regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({0}, ''), '{1}', '\1\2', 'g'), '{1}', '\1\2', 'g')), '[\p{{L}}\p{{N}}]+')"
 _DIVIDED = r"([\p{L}\p{N}])[-¬\x{AD}‐‑=][\t-\r\x1c-\x1f\x{85}\p{Z}]*\n[\t-\r\x1c-\x1f\x{85}\p{Z}]*([\p{L}\p{Nl}\p{No}])"
 SQL = records.SQL | {
     "p2_shares": f"{_SHARES} SELECT seg_id, n_words, n_repeated FROM shares",
+    "p5_counts": rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
+l AS (SELECT doc_id, t, {_TOKENS.format("t")} AS w, list_filter(string_split(t, chr(10)), lambda x: len({_TOKENS.format("x")}) > 0) AS ls FROM t),
+c AS (SELECT doc_id, t, len(w)::DOUBLE AS n, len(ls)::DOUBLE AS n_lines, greatest(1, length(t) - (length(t) - length(replace(replace(t, ' ', ''), chr(10), ''))))::DOUBLE AS chars,
+len(list_filter(ls, lambda x: regexp_matches(x, '[.!?,;:”"''’)-][{_WS}]*$')))::DOUBLE AS stops, length(t) - length(regexp_replace(t, '[|*■•^~<>{{}}\[\]\\=_+/&%#@$]', '', 'g')) AS symbols, length(t) - length(replace(t, ',', '')) AS commas FROM l)
+SELECT doc_id, n AS n_tokens, CASE WHEN t = '' THEN 0.0::DOUBLE ELSE chars / greatest(n, 1) END AS mean_word_length, symbols / chars AS symbol_ratio, commas / greatest(n, 1) AS comma_ratio, stops / greatest(n_lines, 1) AS end_stop_lines, greatest(n, 1) / greatest(n_lines, 1) AS tokens_per_line FROM c""",
+    "p5_common_words": r"""WITH d AS (SELECT doc_id, lower(trim(lang)) AS lang, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+n AS (SELECT lang, count(*) AS docs, sum(count(*)) OVER () AS whole FROM d GROUP BY lang),
+c AS (SELECT lang, w, count(*) AS k FROM (SELECT lang, unnest(w) AS w FROM d) GROUP BY lang, w)
+SELECT DISTINCT w AS word FROM c JOIN n USING (lang) WHERE k >= docs * 0.4::DOUBLE AND docs >= 0.01::DOUBLE * whole""".replace("\\\\", "\\"),
     "p2_adaptive": f"{_ADAPTIVE} SELECT doc_id, g.language, g.origin, n_words, n_repeated, threshold FROM grouped g JOIN limits l ON l.language = g.language AND l.origin = g.origin WHERE share >= threshold",
     "p9_exact": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text", _DIVIDED)} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("text", _DIVIDED)} AS w FROM eval_items),
 runs AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 19], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS k FROM i))

@@ -180,11 +180,28 @@ def test_structure_is_told_from_prose(spark):
     make = [prose, lambda: "\n".join(f"| Row | {rng.random():.2f} | {rng.randint(1, 99)} |" for _ in range(12)), lambda: "\n".join(f"* golden item {rng.randint(1, 99)}" for _ in range(12)), lambda: " ".join(f"{rng.getrandbits(32):08x}" for _ in range(30))]
     rows = [(i, make[i % 4]() if i % 8 < 6 else prose(), i % 4 if i % 8 < 6 else 0) for i in range(400)] + [(900, None, 0), (901, "", 0)]
     df = spark.createDataFrame(rows, "rec_id bigint, text string, k int").selectExpr("'documents' as tab", "rec_id", "text", "k")
-    stats = quality.text_statistics(df, ["tab", "rec_id"], "text").cache()
     labels = spark.createDataFrame([("documents", i, "prose" if k == 0 else "table") for i, _, k in rows[:100]], "tab string, rec_id bigint, kind_label string")
-    got = {r.rec_id: r.probability for r in quality.structure_probability(stats, quality.train(stats, labels)).collect()}
+    common = frozenset("the of and it was he to".split())
+    model = quality.train(df, labels, common)
+    got = {r.rec_id: r.probability for r in quality.structure_probability(df, model).collect()}
     assert np.mean([(got[i] >= 0.5) == (k > 0) for i, _, k in rows[100:400]]) > 0.97 and 900 in got
-    assert quality.train(stats.where("false"), labels).trees == []
+    assert 20 < model.n_held_out < 80 and model.n_agree >= 0.95 * model.n_held_out
+    assert quality.train(df.where("false"), labels, common).trees.trees == []
+
+
+def test_the_training_sample_is_bounded(spark):
+    text = "the house of the garden was seen and it was to be of the garden. " * 3
+    df = spark.createDataFrame([("documents", i, text) for i in range(3000)], "tab string, rec_id bigint, text string")
+    labels = spark.createDataFrame([("documents", i, "prose") for i in range(1000)], "tab string, rec_id bigint, kind_label string")
+    m = quality.train(df, labels, frozenset(["the", "of", "was", "and"]), max_records=300, max_labels=100)
+    assert 150 < m.n_trained < 400 and 60 < m.n_calibrated + m.n_held_out < 150
+
+
+def test_common_words_of_each_language(spark):
+    rows = [("en", f"The house, THE x{i} of y{i}") for i in range(50)] + [(" EN", "the zebra of it")] + [("fr", f"le la z{i}") for i in range(10)] + [("xx", "rare")] * 0 + [(None, "the the"), ("en", None), ("en", "")]
+    got = quality.common_words(spark.createDataFrame(rows, "lang string, text string"))
+    assert got == {"the", "house", "of", "le", "la"}
+    assert quality.common_words(spark.createDataFrame([], "lang string, text string")) == frozenset()
 
 
 KNOWN = {w: 3000 for w in "the of house garden before remarked orchard colony mountain morning second hand weather window".split()} | {"to-morrow": 500}
