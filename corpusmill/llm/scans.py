@@ -1,9 +1,10 @@
 """Noise in text from scanned pages: divided words, misread characters, running heads and page numbers.
 
-Two averaged perceptrons do the work. The character editor chooses for each place of a word whether to
+Averaged perceptrons do the work. The character editor chooses for each place of a word whether to
 keep it, replace, delete or insert characters, and at a line's end whether to join. It is trained on the
-corpus itself: rare words that one common misreading turns into a frequent word, against frequent words
-and rare words that nothing explains. The furniture classifier chooses for each line that stands apart
+corpus itself: rare words that one common misreading turns into a frequent word, and frequent words from
+which a letter is left out, against frequent words as they are. The joiner is trained on frequent words
+cut in two, on words with a hyphen, and on pairs of words. The furniture classifier chooses for each line that stands apart
 whether it is text, a running head, a page number or both, from its form, its place on the page and how
 often its like stands on other pages of the same file or paper.
 
@@ -13,6 +14,7 @@ A word's edit doesn't depend on its neighbours, so each distinct word is edited
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from sys import intern
 
@@ -27,6 +29,8 @@ MARKS = "-¬­‐‑="
 _DIVIDED = re.compile(rf"(?:(?<=[^\W\d_])[{MARKS}][^\S\n]*\n\s*(?=[a-zà-ÿ])|(?<=[A-ZÀ-Þ][A-ZÀ-Þ])[{MARKS}][^\S\n]*\n\s*(?=[A-ZÀ-Þ]))")
 #: A mark that begins an entry or a note.
 _ENTRY = re.compile(r"(?m)^[^\S\n]*[*•†‡][^\S\n]+")
+#: The words on both sides of a mark at a line's end.
+_HALVES = re.compile(rf"([^\W\d_]+)[{MARKS}][^\S\n]*\n\s*([^\W\d_]+)")
 _EDGE = ".,;:!?\"“”'‘’„()[]—–-"
 # Names of the months.
 MONTHS = frozenset("january february march april may june july august september october november december".split())
@@ -54,7 +58,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for t, n in raw.items():
                 for w in t.replace("--", "—").split("—"):
                     w = bare(w)
-                    if w and len(w) <= 40:
+                    if w:
                         words[w] += n
             raw.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
@@ -74,17 +78,41 @@ def word_counts(texts: DataFrame) -> DataFrame:
 _NO_WORD = re.compile(r"^\W*\d+[a-z]{0,2}$|\d.*\d.*\d|[bcdfghjklmnpqrstvwxz]{7}")
 
 
+#: What a mark at a line's end is: a dash between words, the division of a word, or a hyphen that the word has anyway.
+APART, JOINED, HYPHENATED = 0, 1, 2
+
+
 class Editor:
-    """The character editor. Operations are (what is read, what it stands for); equal for keeping."""
+    """The character editor. Operations are (what is read, what it stands for): equal for keeping, nothing read for inserting.
 
-    def __init__(self, known: dict[str, int], ops: dict[str, list[str]], model: AveragedPerceptron, joiner: AveragedPerceptron):
-        self.known, self.ops, self.model, self.joiner = known, ops, model, joiner
+    ``places`` says where in a word letters are inserted (``start``, ``inside``, ``end``), each with the least length of a word.
+    """
 
-    def _options(self, word: str) -> list[tuple[str, str, int, str]]:
+    def __init__(self, known: dict[str, int], ops: dict[str, list[str]], model: AveragedPerceptron, joiner: AveragedPerceptron, places: dict[str, int] | None = None):
+        self.known, self.ops, self.model, self.joiner, self.places = known, ops, model, joiner, places or {}
+        self._made: tuple | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_made": None}
+
+    def _index(self) -> tuple[dict[str, list[tuple[str, int]]], int, float, list[str]]:
+        """Known words without one letter; the longest word that edits can reach; words as frequent as no other; known words in order."""
+        if self._made is None:
+            without: dict[str, list[tuple[str, int]]] = defaultdict(list)
+            letters = set(self.ops.get("", ()))
+            for v in self.known:
+                for i, ch in enumerate(v):
+                    place = "start" if i == 0 else "end" if i == len(v) - 1 else "inside"
+                    if ch in letters and len(v) > self.places.get(place, 1 << 30):
+                        without[v[:i] + v[i + 1 :]].append((v, i))
+            self._made = without, max(map(len, self.known), default=0) + 4, sum(self.known.values()) / 200, sorted(self.known)
+        return self._made
+
+    def _options(self, word: str) -> list[tuple[str, str, str, int]]:
         """(edited word, read, meant, place) of every single operation that gives a known word."""
-        out = []
+        out = [(v, "", v[i], i) for v, i in self._index()[0].get(word, ())] if word not in self.known else []
         for i in range(len(word)):
-            for size in (0, 1, 2):
+            for size in (1, 2):
                 read = word[i : i + size]
                 if len(read) == size:
                     for meant in self.ops.get(read, ()):
@@ -108,8 +136,8 @@ class Editor:
 
     def edit(self, word: str) -> str:
         """The word as it was meant; the word itself where keeping it is best. Two operations are tried if one is not enough."""
-        if len(word) > 24 or _NO_WORD.search(word):
-            return word
+        if len(word) > self._index()[1] or _NO_WORD.search(word):
+            return word  # so long a word is no known one after two operations
         options = self._options(word)
         if not options and len(word) >= 6 and word not in self.known:
             for i in range(len(word)):
@@ -125,15 +153,30 @@ class Editor:
         k = self.model.best(feats)
         return options[k - 1][0] if k else word
 
-    @staticmethod
-    def join_features(left: str, right: str, known: dict[str, int]) -> list[list]:
-        whole, hyphen = known.get(left + right, 0), known.get(f"{left}-{right}", 0)
-        state = (whole > 0, hyphen > whole, left in known, right in known)
-        return [[("apart", *state)], [("join", *state)]]
+    def cut_off(self, word: str) -> bool:
+        """Whether a word that isn't known begins a known one: what a text's end leaves of it."""
+        if not word or word in self.known:
+            return False
+        order = self._index()[3]
+        i = bisect_left(order, word)
+        return i < len(order) and order[i].startswith(word)
+
+    def _frequency(self, word: str) -> int:
+        n = self.known.get(word, 0)
+        return 2 if n and n >= self._index()[2] else 1 if n else 0
+
+    def join_features(self, left: str, right: str) -> list[list]:
+        whole, hyphen = self.known.get(left + right, 0), self.known.get(f"{left}-{right}", 0)
+        state = (whole > 0, hyphen > whole, self._frequency(left), self._frequency(right))
+        return [[(c, *state), (c, whole > 0, hyphen > whole)] for c in (APART, JOINED, HYPHENATED)]
+
+    def division(self, left: str, right: str) -> int:
+        """What a mark between two parts at a line's end is."""
+        return self.joiner.best(self.join_features(left, right))
 
     def joins(self, left: str, right: str) -> bool:
         """Whether a word divided at a line's end is written without its mark."""
-        return self.joiner.best(self.join_features(left, right, self.known)) == 1
+        return self.division(left, right) == JOINED
 
 
 def train_editor(counts: DataFrame, finest: int = 1 << 16, max_rare: int = 20_000, ratio: int = 15, support: int = 4) -> Editor:
@@ -149,11 +192,25 @@ def train_editor(counts: DataFrame, finest: int = 1 << 16, max_rare: int = 20_00
     least = max(total / finest, 2)
     known = {r[0]: r[1] for r in counts.where(F.col("n") >= least).collect()}
     letters = r"^[\p{L}0-9$£\[\]|!]*\p{L}[\p{L}0-9$£\[\]|!]*$"
-    rare = [(r[0], r[1]) for r in counts.where((F.col("n") < least) & F.col("word").rlike(letters) & (F.length("word") <= 24)).orderBy(F.desc("n"), "word").limit(max_rare).collect()]
-    return fit_editor(known, rare, ratio, support)
-
-
-def fit_editor(known: dict[str, int], rare: list[tuple[str, int]], ratio: int = 15, support: int = 4) -> Editor:
+    band = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int")
+    by = F.pmod(F.xxhash64("word", F.lit(3)), F.lit(1 << 30))
+    rare = counts.where((F.col("n") < least) & F.col("word").rlike(letters)).select("word", "n", band.alias("band"), by.alias("h"))
+    # Bands of frequency, some hundreds at most, say which words are the most frequent ones; of the last band a share is taken by hash.
+    left, chosen = max_rare, F.lit(False)
+    for b, k in sorted(map(tuple, rare.groupBy("band").count().collect()), reverse=True):
+        chosen = chosen | ((F.col("band") == b) & (F.col("h") < int(min(1.0, left / k) * (1 << 30))))
+        left -= k
+        if left <= 0:
+            break
+    return fit_editor(known, sorted((r[0], r[1]) for r in rare.where(chosen).select("word", "n").collect()), ratio, support)
+
+
+def fit_editor(known: dict[str, int], rare: list[tuple[str, int]], ratio: int = 15, support: int = 4, max_known: int = 20_000) -> Editor:
+    """The editor from known words and a sample of rare ones, each with its frequency.
+
+    :param max_known: bound of the known words, most frequent first, that it learns from what to keep, and of which it leaves out letters.
+    """
+    rare = sorted(rare, key=lambda x: (-x[1], x[0]))
     plain = [w for w in known if w.isalpha() or w.replace("-", "").isalpha()]
     holes: dict[tuple[str, str], list[tuple[str, str]]] = defaultdict(list)
     for v in plain:
@@ -163,51 +220,69 @@ def fit_editor(known: dict[str, int], rare: list[tuple[str, int]], ratio: int =
                     holes[(v[:i], v[i + size :])].append((v, v[i : i + size]))
     # Known words may be frequent misreadings of still more frequent ones.
     sample = rare + sorted((w, n) for w, n in known.items() if n < max(known.values(), default=0) / ratio)
-    pairs, seen = [], Counter()
+    pairs, seen, dropped = [], Counter(), Counter()
     for u, n in sample:
         if len(u) < 2 or not any(ch.isalpha() for ch in u):
             continue
         best: tuple[int, str, str, str, int] | None = None
-        for i in range(len(u)):
-            for size in (1, 2):
-                if i + size > len(u) or len(u) - size < 1:
-                    continue
-                for v, meant in holes.get((u[:i], u[i + size :]), ()):
-                    read = u[i : i + size]
-                    # Whole spans only, so no shared first or last character. Letters are not just left out: words have endings of themselves.
-                    if v == u or (not meant and read.isalpha()) or (read and meant and (read[0] == meant[0] or read[-1] == meant[-1])):
+        for sizes in ((1, 2), (0,)):  # a letter left out is no explanation where another one does
+            for i in range(len(u) + 1) if best is None and (sizes != (0,) or len(u) > 3) else ():
+                for size in sizes:
+                    if i + size > len(u) or len(u) - size < 1:
                         continue
-                    if known[v] >= ratio * n and (best is None or known[v] > best[0]):
-                        best = (known[v], v, read, meant, i)
+                    for v, meant in holes.get((u[:i], u[i + size :]), ()):
+                        read = u[i : i + size]
+                        # Whole spans only, so no shared first or last character. Letters are not just left out: words have endings of themselves.
+                        if v == u or (not meant and read.isalpha()) or (read and meant and (read[0] == meant[0] or read[-1] == meant[-1])) or (not read and len(meant) > 1):
+                            continue
+                        if known[v] >= ratio * n and (best is None or known[v] > best[0]):
+                            best = (known[v], v, read, meant, i)
         if best:
             pairs.append((u, n, *best[1:]))
-            if u not in known and len(u) > 4:
+            if u not in known and not best[2]:
+                dropped["start" if best[4] == 0 else "end" if best[4] == len(u) else "inside"] += 1
+            elif u not in known and len(u) > 4:
                 seen[(best[2], best[3])] += 1
     ops: dict[str, list[str]] = defaultdict(list)
     least = max(support, sum(seen.values()) / 1000)
     for (read, meant), k in sorted(seen.items()):
         if k >= least:
             ops[read].append(meant)
-    shell = Editor(known, dict(ops), AveragedPerceptron(), AveragedPerceptron())
-    examples = []
-    for u, n, v, read, meant, at in pairs:
+    # Letters inside a word are inserted in longer words at least; elsewhere only where the corpus shows that they get lost.
+    top = sorted(plain, key=lambda x: (-known[x], x))[:max_known]
+    ops[""] = sorted({ch for w in top for ch in w if ch.isalpha()})
+    places = {"inside": 5} | {place: 3 for place, k in dropped.items() if k >= least}
+    shell = Editor(known, dict(ops), AveragedPerceptron(), AveragedPerceptron(), places)
+
+    def example(u: str, v: str, read: str, meant: str) -> None:
         options = shell._options(u)
         right = next((k + 1 for k, o in enumerate(options) if o[0] == v and o[1] == read and o[2] == meant), None)
         if right is not None and u not in known:
             examples.append(([shell._keep(u, len(options))] + [shell._features(u, *o, known) for o in options], right))
-    for w in sorted(plain, key=lambda x: (-known[x], x))[:20_000]:
+
+    examples: list = []
+    for u, _, v, read, meant, _ in pairs:
+        example(u, v, read, meant)
+    for k, w in enumerate(top):
         options = shell._options(w)
         if options and all(known[o[0]] < ratio * 4 * known[w] for o in options):
             examples.append(([shell._keep(w, len(options))] + [shell._features(w, *o, known) for o in options], 0))
+        if len(w) > 5 and w.isalpha():
+            i = 1 + k % (len(w) - 2)
+            example(w[:i] + w[i + 1 :], w, "", w[i])
     joins = []
-    for w in sorted(plain, key=lambda x: (-known[x], x))[:5_000]:
+    common = [w for w in top if shell._frequency(w) == 2]
+    for k, w in enumerate(top):
         if "-" in w:
             left, _, right = w.partition("-")
-            joins += [(Editor.join_features(left, right, known), 0)] * 2
+            joins += [(shell.join_features(left, right), HYPHENATED)] * 2
         elif len(w) > 3:
-            joins.append((Editor.join_features(w[: len(w) // 2], w[len(w) // 2 :], known), 1))
-            joins.append((Editor.join_features(w[:-1] + "ÿ", w[-1:], known), 1))
-    return Editor(known, dict(ops), AveragedPerceptron().train(examples), AveragedPerceptron().train(joins))
+            joins += [(shell.join_features(w[:i], w[i:]), JOINED) for i in (len(w) // 2, 2)]
+            joins += [(shell.join_features(w[: len(w) // 2] + "ÿ", w[len(w) // 2 :]), JOINED), (shell.join_features(w, w + "ÿ"), JOINED), (shell.join_features(w[:-1] + "ÿ", w[-1:]), JOINED)]
+        for left, right in ((w, common[(k + 1) % len(common)]), (common[(k + 7) % len(common)], w)) if k < 200 and common else ():
+            if left != right and left + right not in known and f"{left}-{right}" not in known:
+                joins += [(shell.join_features(left, right), APART)] * 3
+    return Editor(known, dict(ops), AveragedPerceptron().train(examples), AveragedPerceptron().train(joins), places)
 
 
 # ---------------------------------------------------------------- characters
@@ -218,9 +293,9 @@ _STRAY = re.compile(r"[\^»«|*\\■•¦~<>{}_=+]+|,,|\*;|[;:,]+['|]?")
 _INNER = re.compile(r"[\^»«|\\■•¦~<>{}]")
 
 
-def running_text(body: str, divided: bool = True) -> list[str]:
+def running_text(body: str) -> list[str]:
     """The tokens of a text with divided words whole, without the marks of entries and notes and without halves of words at its ends."""
-    if divided:
+    if "\n" in body:
         body = _DIVIDED.sub("", body)
     if "*" in body or "•" in body or "†" in body or "‡" in body:
         body = _ENTRY.sub("", body)
@@ -243,6 +318,29 @@ class Reader:
         self.memo: dict[str, int] = {}
         self.fixed: dict[str, str] = {}
         self.rare: dict[str, list[str]] = {}
+        self.divided: dict[tuple[str, str], bool] = {}
+
+    def divides(self, body: str) -> bool:
+        """Whether any mark at a line's end divides a word, by the editor's joiner."""
+        for m in _DIVIDED.finditer(body):
+            around = _HALVES.match(body, self._word_start(body, m.start()))
+            if around is None:
+                return True  # a part without letters is no word of its own
+            pair = around[1].lower(), around[2].lower()
+            got = self.divided.get(pair)
+            if got is None:
+                if len(self.divided) > 400_000:
+                    self.divided.clear()
+                got = self.divided[pair] = self.editor.division(*pair) != APART
+            if got:
+                return True
+        return False
+
+    @staticmethod
+    def _word_start(body: str, at: int) -> int:
+        while at and body[at - 1].isalpha():
+            at -= 1
+        return at
 
     def code(self, token: str) -> int:
         got = self.memo.get(token)
@@ -319,14 +417,14 @@ _MARKED = "^»«|\\■•¦~<>{}"
 
 
 def may_be_misread(word: str) -> bool:
-    return 2 <= len(word) <= 40 and any(ch.isalpha() for ch in word) and not _NO_WORD.search(word)
+    return len(word) >= 2 and any(ch.isalpha() for ch in word) and not _NO_WORD.search(word)
 
 
 def misreadings(word: str, ops: dict[str, list[str]]) -> set[tuple[str, str, str, int]]:
     """(misread word, read, meant, place) of every single operation, and of every mark within the word."""
     out = {(word[:i] + m + word[i:], m, "", i) for i in range(len(word) + 1) for m in _MARKED}
     for read, all_meant in ops.items():
-        for meant in all_meant:
+        for meant in all_meant if read else ():
             for i in range(len(word) - len(meant) + 1):
                 if word.startswith(meant, i):
                     out.add((word[:i] + read + word[i + len(meant) :], read, meant, i))
@@ -399,13 +497,11 @@ def fold(text: str) -> str:
 
 def _stands_apart(line: str) -> str | None:
     """``n`` for a number alone, ``h`` for a line in capitals or in title case, else nothing."""
-    if len(line) > 90:
-        return None
     if len(line) <= 16 and any(ch.isalnum() for ch in line) and _NUMBER_LINE.fullmatch(line):
         return "n"
     if line.isupper():
         return "h" if sum(map(str.isalpha, line)) >= 4 else None
-    if line[:1].islower() or len(line) > 75:
+    if line[:1].islower():
         return None
     big = 0
     for w in line.split():
@@ -414,7 +510,7 @@ def _stands_apart(line: str) -> str | None:
                 return None
         elif w[0].isupper() or w.lstrip("([“\"'*")[:1].isupper():
             big += 1
-    return "h" if 1 <= big <= 9 and sum(map(str.isalpha, line)) >= 4 else None
+    return "h" if big and sum(map(str.isalpha, line)) >= 4 else None
 
 
 #: A line that may be furniture: its number, kind, folded letters, features.
@@ -449,7 +545,7 @@ def page_lines(lines: list[str]) -> list[tuple[int, str, str, str, list[str]]]:
             f"blank after={i + 1 < len(lines) and not lines[i + 1].strip()}", f"words={min(len(words), 9)}",
             f"sentence ended={before[-1:] in '.!?”\"' if before else True}", f"goes on={after[:1].islower()}", f"divided before={bool(before) and before[-1] in MARKS}",
             f"number beside={kinds.get(full[k - 1]) == 'n' if k else False or (k + 1 < len(full) and kinds.get(full[k + 1]) == 'n')}",
-            f"many capitals={capitals > 0.5 and len(full) > 3}", f"colon={':' in s}", f"stop={s[-1:] == '.'}",
+            f"many capitals={capitals > 0.5 and len(full) > 3}", f"colon={':' in s}", f"stop={s[-1:] == '.'}", f"long={len(s) > 75}",
         ]
         low = fold(s)
         chapter = low.startswith(fold("chapter")) or fold(before).startswith(fold("chapter")) and "n" not in kinds.get(full[k - 1], "") and len(before) < 24
@@ -505,7 +601,7 @@ def weak_class(kind: str, form: list[str], likeness: int, pages: int, heads: int
         if f["year"] == "True" or f["plain stop"] == "True&False" and f["goes on"] == "False":
             return 0
         return 2 if f["figures"] == "True" else None
-    if f["note"] == "True" or f["chapter"] == "True" and likeness < 3 and f["number at edge"] == "False" or f["many capitals"] == "True" or f["near"] == "True":
+    if f["note"] == "True" or f["chapter"] == "True" and likeness < 3 and f["number at edge"] == "False" or f["many capitals"] == "True" or f["near"] == "True" or f["long"] == "True" and likeness < 3 and pages < 3:
         return 0
     if f["ordinal"] == "True" or f["mixed"] == "True" or (f["capitals"] == "False" and int(f["words"]) <= 1 and likeness < 3):
         return 0
@@ -536,12 +632,14 @@ def read_pages(pages: DataFrame, editor: Editor) -> DataFrame:
                     continue
                 t = _clean(t)
                 lines = t.split("\n")
-                apart = page_lines(lines) if len(lines) > 1 or len(t) < 100 else []
+                apart = page_lines(lines)
                 gone = {x[0] for x in apart}
                 body = "\n".join([s for k, s in enumerate(lines) if k not in gone and s.strip()]) if gone or "\n\n" in t else t
                 keep.append(i)
-                hyphen.append(_DIVIDED.search(body) is not None)
-                tokens = running_text(body, hyphen[-1])
+                hyphen.append(reader.divides(body))
+                tokens = running_text(body)
+                if tokens and tokens[-1].isalpha() and reader.editor.cut_off(tokens[-1].lower()):
+                    del tokens[-1]
                 codes = reader.codes(tokens)
                 char.append(Reader.noisy(codes))
                 rare.append([] if char[-1] else reader.rare_words(tokens, codes))
@@ -580,8 +678,8 @@ def furniture_rows(read: DataFrame) -> DataFrame:
     Counts are over the whole group, taken apart from the lines, so a group of any size is never in one task.
     """
     rows = read.select("tab", "rec_id", "grp", "title", F.explode("lines").alias("x")).select("tab", "rec_id", "grp", "title", "x.*")
-    pages = rows.where("key <> ''").groupBy("tab", "grp", "key").agg(F.approx_count_distinct("rec_id").alias("pages"))
-    heads = rows.where("head <> ''").groupBy("tab", "grp", "head").agg(F.approx_count_distinct("rec_id").alias("heads"))
+    pages = rows.where("key <> ''").groupBy("tab", "grp", "key").agg(F.count_distinct("rec_id").alias("pages"))
+    heads = rows.where("head <> ''").groupBy("tab", "grp", "head").agg(F.count_distinct("rec_id").alias("heads"))
     out = rows.join(pages, ["tab", "grp", "key"], "left").join(heads, ["tab", "grp", "head"], "left")
     return out.select("tab", "rec_id", "title", "at", "kind", "key", "form", F.coalesce("pages", F.lit(0)).cast("int").alias("pages"), F.coalesce("heads", F.lit(0)).cast("int").alias("heads"))
 
@@ -589,9 +687,12 @@ def furniture_rows(read: DataFrame) -> DataFrame:
 def train_furniture(rows: DataFrame, max_rows: int = 10_000) -> AveragedPerceptron:
     """The classifier of lines, from weak labels.
 
-    :param max_rows: bound of the sample of lines it is trained on, chosen by hash.
+    :param max_rows: bound of the sample of lines it is trained on, chosen by hash on the executors.
     """
-    sample = rows.orderBy(F.xxhash64("tab", "rec_id", "at"), "tab", "rec_id", "at").limit(max_rows).collect()
+    share = min(1.0, max_rows / max(1, rows.count()))
+    own = rows.select("tab", "rec_id", "at", "title", "kind", "key", "form", "pages", "heads")
+    sample = own.where(F.pmod(F.xxhash64("tab", "rec_id", "at"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
+    sample.sort(key=lambda r: (r["tab"], r["rec_id"], r["at"]))
     examples = []
     for r in sample:
         like = title_likeness(r["key"], r["title"])
@@ -648,8 +749,8 @@ def repair_page(text: str, furniture: set[int], reader: Reader, meant: dict[str,
             m = re.search(rf"([^\W\d_]+)[{MARKS}]$", whole)
             rest = re.match(r"[a-zà-ÿ]+", s)
             if m and rest:
-                mark = "" if reader.editor.joins(m[1].lower(), rest[0]) else "-"
-                whole = whole[: m.end(1)] + mark + s
+                what = reader.editor.division(m[1].lower(), rest[0])
+                whole = whole[: m.end(1)] + {APART: "—", JOINED: "", HYPHENATED: "-"}[what] + s
             else:
                 whole = f"{whole} {s}" if whole else s
         if whole:

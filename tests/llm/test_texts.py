@@ -218,6 +218,32 @@ def test_editor_repairs_misread_words_only():
     assert ed.joins("moun", "tain") and not ed.joins("to", "morrow")
 
 
+def test_editor_inserts_lost_letters():
+    lost = [(w, 2) for w in "hous gardn befre orchrd colny mountin mornng secnd weathr windw handd".split()]
+    ed = scans.fit_editor(dict(KNOWN), lost, support=1)
+    assert ed.ops[""] and {"inside", "end"} <= set(ed.places)
+    assert [ed.edit(w) for w in "hous gardn befre orchrd mornng".split()] == "house garden before orchard morning".split()
+    assert [ed.edit(w) for w in ("house", "xyzzy", "of", "the")] == ["house", "xyzzy", "of", "the"]
+    # Without any sign of lost letters only those inside longer words are looked for.
+    assert [_editor().edit(w) for w in ("hous", "mountin", "wether")] == ["hous", "mountain", "weather"]
+
+
+def test_long_words_are_edited_and_cut_off_words_left():
+    long = "incomprehensibilityandsomuchmore"
+    ed = scans.fit_editor(dict(KNOWN) | {long: 900}, RARE, support=1)
+    assert ed.edit(long.replace("o", "c", 1)) in (long, long.replace("o", "c", 1)) and ed.edit(long[:9] + long[10:]) == long
+    assert ed.cut_off("moun") and not ed.cut_off("house") and not ed.cut_off("zzz")
+
+
+def test_joiner_tells_divisions_from_dashes():
+    known = dict(KNOWN) | {"the": 90000, "of": 80000}
+    ed = scans.fit_editor(known, RARE, support=1)
+    assert ed.division("moun", "tain") == scans.JOINED and ed.division("to", "morrow") == scans.HYPHENATED and ed.division("of", "the") == scans.APART
+    assert ed.division("thorv", "astle") == scans.JOINED
+    r = scans.Reader(ed)
+    assert r.divides("the moun-\ntain") and not r.divides("house of-\nthe garden") and not r.divides("the house")
+
+
 def test_page_repair_and_codes():
     r = scans.Reader(_editor())
     text = "THE HEAD 12\nbcfore the moun-\n43\ntain ^ of the g a r d e n\n\nto-\nmorrow the house."
