@@ -595,13 +595,15 @@ def line_features(kind: str, form: list[str], likeness: int, pages: int, heads:
 def weak_class(kind: str, form: list[str], likeness: int, pages: int, heads: int) -> int | None:
     """A first guess at a line's class from the clearest signs; nothing where they don't agree."""
     f = {k: v for k, _, v in (x.partition("=") for x in form)}
+    if f["long"] == "True":
+        return None  # a whole line of names or capitals has no clear signs
     if kind == "n":
         if f["dressed"] == "True":
             return 2
         if f["year"] == "True" or f["plain stop"] == "True&False" and f["goes on"] == "False":
             return 0
         return 2 if f["figures"] == "True" else None
-    if f["note"] == "True" or f["chapter"] == "True" and likeness < 3 and f["number at edge"] == "False" or f["many capitals"] == "True" or f["near"] == "True" or f["long"] == "True" and likeness < 3 and pages < 3:
+    if f["note"] == "True" or f["chapter"] == "True" and likeness < 3 and f["number at edge"] == "False" or f["many capitals"] == "True" or f["near"] == "True":
         return 0
     if f["ordinal"] == "True" or f["mixed"] == "True" or (f["capitals"] == "False" and int(f["words"]) <= 1 and likeness < 3):
         return 0
@@ -684,7 +686,7 @@ def furniture_rows(read: DataFrame) -> DataFrame:
     return out.select("tab", "rec_id", "title", "at", "kind", "key", "form", F.coalesce("pages", F.lit(0)).cast("int").alias("pages"), F.coalesce("heads", F.lit(0)).cast("int").alias("heads"))
 
 
-def train_furniture(rows: DataFrame, max_rows: int = 10_000) -> AveragedPerceptron:
+def train_furniture(rows: DataFrame, max_rows: int = 15_000) -> AveragedPerceptron:
     """The classifier of lines, from weak labels.
 
     :param max_rows: bound of the sample of lines it is trained on, chosen by hash on the executors.
