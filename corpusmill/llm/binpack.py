@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import arrow_map
+from corpusmill.scratch import Scratch
 
-#: Numbering within a length is done in so many parts, as one length may hold a third of all rows.
-PARTS = 64
+#: Pieces of one length that are numbered in one task, about; one length may hold a third of all rows.
+PART_ROWS = 50_000
 
 
 def fullest(counts: Mapping[int, int], room: int) -> list[tuple[int, int]]:
@@ -99,23 +100,34 @@ def pieces(seqs: DataFrame, capacity: int, key: str, ids: str) -> DataFrame:
     )
 
 
-def assign_rows(seqs: DataFrame, capacity: int = 4097, key: str = "seq_id", ids: str = "input_ids") -> DataFrame:
-    """``row_id``, ``key``, ``piece``, ``n`` for every piece of every sequence.
+def assign_rows(seqs: DataFrame, scratch: Scratch, capacity: int = 4097, key: str = "seq_id", ids: str = "input_ids", part_rows: int = PART_ROWS) -> DataFrame:
+    """``row_id``, ``key``, ``piece``, ``n`` for every piece of every sequence; a table of its own.
 
     Null and empty sequences take no room and get no row; rows with a null key are left out, as
     they name no sequence. Rows repeated with one key count once; if lengths differ, the longest
     counts. An empty table gives an empty one. Other columns are ignored.
+
+    :param part_rows: pieces of one length are numbered in parts of about so many, as many parts as their count needs.
     """
-    all_pieces = pieces(seqs, capacity, key, ids).withColumn("part", F.pmod(F.xxhash64(key, "piece"), F.lit(PARTS)).cast("int"))
-    counts = all_pieces.groupBy("n", "part").count().collect()  # at most capacity * PARTS rows
-    by_length: dict[int, dict[int, int]] = {}
-    for n, part, k in counts:
-        by_length.setdefault(n, {})[part] = k
-    lookup = _Lookup(plan_rows({n: sum(x.values()) for n, x in by_length.items()}, capacity))
-    base = {n: dict(zip(sorted(x), np.cumsum([0] + [x[p] for p in sorted(x)]).tolist())) for n, x in by_length.items()}
+    all_pieces = scratch.save(pieces(seqs, capacity, key, ids))
+    histogram = {r[0]: r[1] for r in all_pieces.groupBy("n").count().collect()}  # at most ``capacity`` rows
+    lookup = _Lookup(plan_rows(histogram, capacity))
+    n_parts = {n: -(-k // part_rows) for n, k in histogram.items()}
+    split = {n: k for n, k in n_parts.items() if k > 1}
+    parts = F.lit(1)
+    if split:
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(split.items()) for x in kv]), F.col("n")), F.lit(1))
+    placed = all_pieces.withColumn("part", F.pmod(F.xxhash64(key, "piece"), parts).cast("int"))
+    base: dict[int, dict[int, int]] = {n: {0: 0} for n in histogram}
+    if split:
+        # One row for ``part_rows`` pieces.
+        sizes: dict[int, dict[int, int]] = {}
+        for n, part, k in placed.where(F.col("n").isin(list(split))).groupBy("n", "part").count().collect():
+            sizes.setdefault(n, {})[part] = k
+        for n, x in sizes.items():
+            base[n] = dict(zip(sorted(x), np.cumsum([0] + [x[p] for p in sorted(x)]).tolist()))
     shared = seqs.sparkSession.sparkContext.broadcast((lookup, base))
-    w = Window.partitionBy("n", "part").orderBy(key, "piece")
-    ranked = all_pieces.withColumn("rank", F.row_number().over(w))
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("n", "part").orderBy(key, "piece")))
 
     def rows(batches):
         look, offset = shared.value
@@ -125,16 +137,16 @@ def assign_rows(seqs: DataFrame, capacity: int = 4097, key: str = "seq_id", ids:
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), b.column(key), b.column("piece"), b.column("n")], ["row_id", key, "piece", "n"])
 
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
-    return arrow_map(ranked, rows, f"row_id bigint, {key} {kinds[key]}, piece int, n int")
+    return scratch.save(arrow_map(ranked, rows, f"row_id bigint, {key} {kinds[key]}, piece int, n int"))
 
 
-def pack_rows(seqs: DataFrame, capacity: int = 4097, key: str = "seq_id", ids: str = "input_ids") -> DataFrame:
+def pack_rows(seqs: DataFrame, scratch: Scratch, capacity: int = 4097, key: str = "seq_id", ids: str = "input_ids", part_rows: int = PART_ROWS) -> DataFrame:
     """``row_id``, ``n_ids``, ``keys`` and ``input_ids``: the filled rows, pieces in order of key and piece.
 
     The rules of :func:`assign_rows` hold. Where a key comes with several arrays of the same
     greatest length, the largest array in order of its elements counts.
     """
-    where = assign_rows(seqs, capacity, key, ids)
+    where = assign_rows(seqs, scratch, capacity, key, ids, part_rows)
     cut = F.slice(ids, F.col("piece") * capacity + 1, F.col("n"))
     longest = where.groupBy(key).agg(F.sum("n").cast("int").alias("_n"))
     held = where.join(longest, key)

@@ -22,16 +22,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pairs(spark, sf_dir).select(F.least("val_id", "train_id").alias("doc_id_a"), F.greatest("val_id", "train_id").alias("doc_id_b")).distinct()
 
 
+def p3_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs whose words are equal: a part of p3_found."""
+    pairs = p3_pairs(spark, sf_dir).where("share = 1.0")
+    return pairs.select(F.least("val_id", "train_id").alias("doc_id_a"), F.greatest("val_id", "train_id").alias("doc_id_b")).distinct()
+
+
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.overlap_report(p3_pairs(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binpack.pack_rows(table(spark, sf_dir, "token_files"))
+    return binpack.pack_rows(table(spark, sf_dir, "token_files"), Scratch(spark, "binpack"))
+
+
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the packed rows: ids, sequences, the fullest row, whether each id is there once, and whether the rows are the fewest possible ones or 2 % more at most."""
+    rows = Scratch(spark, "binpack").save(p4_rows(spark, sf_dir).withColumn("total", F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)))
+    fewest = F.ceil(F.sum("n_ids") / 4097.0)
+    keys = rows.select(F.explode("keys").alias("k")).agg(F.count_distinct("k").alias("n_sequences"))
+    return rows.agg(
+        F.sum("n_ids").alias("n_ids"), F.sum("total").alias("id_total"), (F.max("n_ids") <= 4097).alias("within"), (F.count(F.lit(1)) <= fewest * 1.02 + 1).alias("tight"),
+    ).crossJoin(keys)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.survivors(_groups(spark, sf_dir), table(spark, sf_dir, "docs"))
+    """The survivors of the built records; groups without any positive size have none."""
+    return p6_records(spark, sf_dir).where("doc_id is not null").select("group_id", "doc_id")
 
 
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +59,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_rows, p6_found, p6_records, p7_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_equal, p3_report, p4_rows, p4_totals, p6_found, p6_records, p7_found)}
 
 _PATH = r"nullif(regexp_replace(lower(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '[\\/]+(?:\.[\\/]+)*', '/', 'g')), '^(?:\./)?(?:/?data/train_data/)?(?:\./|/)*', ''), '')"
 _GROUPS = f"""
@@ -63,7 +80,15 @@ def _best(column: str, present: str) -> str:
     return f"first({column} ORDER BY {order}) FILTER ({present}) AS {column}"
 
 
+_DIVIDED = r"([\p{L}\p{N}])[-¬\x{AD}‐‑=][\t-\r\x1c-\x1f\x{85}\p{Z}]*\n[\t-\r\x1c-\x1f\x{85}\p{Z}]*([\p{L}\p{Nl}\p{No}])"
+_WORDS = rf"regexp_extract_all(lower(regexp_replace(regexp_replace(text, '{_DIVIDED}', '\1\2', 'g'), '{_DIVIDED}', '\1\2', 'g')), '[\p{{L}}\p{{N}}]+')"
 SQL = {
+    "p3_equal": f"""WITH named AS (SELECT DISTINCT {_PATH.format("path")} AS p FROM val_list),
+d AS (SELECT doc_id, {_PATH.format("path")} IN (SELECT p FROM named WHERE p IS NOT NULL) AS listed, array_to_string({_WORDS}, ' ') AS w, text FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '[^\\t-\\r\\x1c-\\x1f\\x{{85}}\\p{{Z}}]')),
+k AS (SELECT doc_id, coalesce(listed, false) AS listed, CASE WHEN w = '' THEN 'text:' || text ELSE w END AS w FROM d)
+SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM k a JOIN k b ON a.w = b.w AND a.listed AND NOT b.listed""",
+    "p4_totals": """WITH s AS (SELECT seq_id, max({'n': len(input_ids), 'ids': input_ids}).ids AS ids FROM token_files WHERE seq_id IS NOT NULL AND len(input_ids) > 0 GROUP BY seq_id)
+SELECT sum(len(ids))::BIGINT AS n_ids, sum(list_sum(ids))::BIGINT AS id_total, true AS within, true AS tight, count(*) AS n_sequences FROM s""",
     "p7_found": f"{_GROUPS} SELECT doc_id, group_id FROM grouped",
     "p6_found": f"{_GROUPS}{_RANKED_SIZES} SELECT group_id, doc_id FROM sized WHERE k = 1",
     "p6_records": f"""{_GROUPS}{_RANKED_SIZES},

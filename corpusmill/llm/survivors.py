@@ -16,25 +16,6 @@ def _present(value: Column, kind: str) -> Column:
     return (F.trim(value) != "") if kind == "string" else value.isNotNull()
 
 
-def latest_positive(docs: DataFrame, key: str = "doc_id", size: str = "chars", at: str = "hashed_at") -> DataFrame:
-    """``key`` and the ``size`` of its latest row with a positive one; equal times go to the larger size."""
-    good = docs.where(F.col(size) > 0).groupBy(key).agg(
-        F.max(F.struct(F.coalesce(F.col(at), F.lit("0001-01-01").cast("timestamp_ntz").cast(docs.schema[at].dataType)).alias("at"), F.col(size).alias("n"))).alias("m")
-    )
-    return good.select(key, F.col("m.n").alias(size))
-
-
-def survivors(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """``group_id``, ``doc_id``: the record with most characters of each group.
-
-    The size of a record is that of its latest row with a positive value; ties go to the smaller
-    id; a group without any positive value has no row. Null ids belong to no group.
-    """
-    sized = groups.join(latest_positive(docs), "doc_id")
-    best = sized.groupBy("group_id").agg(F.max(F.struct("chars", (-F.col("doc_id")).alias("neg"))).alias("m"))
-    return best.select("group_id", (-F.col("m.neg")).alias("doc_id"))
-
-
 def golden_records(
     groups: DataFrame,
     docs: DataFrame,
@@ -43,6 +24,9 @@ def golden_records(
 ) -> DataFrame:
     """One built record for each group: the survivor's id and size, and for each field the best value.
 
+    The survivor is the record with most characters: a record's size is that of its latest row with a positive one
+    (equal times: the larger), equal sizes go to the smaller id. A record's rows are added up where they meet its
+    group, without a shuffle of their own, and one aggregation of maxima follows.
     A field takes the maximum of (present, source priority, time, value) over all rows of the group,
     so a null or blank value never beats a present one and equal claims are settled by the value
     itself. Partial maxima are taken before the shuffle, so a group of any size costs one row for each task.
@@ -57,7 +41,7 @@ def golden_records(
         F.max(F.struct(F.coalesce(_present(F.col(c), kinds[c]), F.lit(False)).alias("ok"), F.col("_trust"), F.col("hashed_at"), F.col(c).alias("v"))).alias(f"_{c}")
         for c in fields
     ]
-    sizes = F.max(F.when(F.col("chars") > 0, F.struct("hashed_at", "chars"))).alias("_s")
+    sizes = F.max(F.when(F.col("chars") > 0, F.struct(F.col("hashed_at").isNotNull().alias("dated"), "hashed_at", "chars"))).alias("_s")
     one = rows.groupBy("group_id", "doc_id").agg(sizes, *claims)
     best = F.max(F.when(F.col("_s").isNotNull(), F.struct(F.col("_s.chars").alias("chars"), (-F.col("doc_id")).alias("neg")))).alias("_b")
     out = one.groupBy("group_id").agg(best, F.count(F.lit(1)).alias("n_records"), *[F.max(f"_{c}").alias(f"_{c}") for c in fields])

@@ -27,11 +27,10 @@ def test_survivor_takes_latest_positive_size_and_best_fields(spark):
     ]
     docs = spark.createDataFrame([(*r, 0) for r in rows], DOCS + ", group_name int")
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "doc_id bigint, group_id bigint")
-    assert [tuple(r) for r in survivors.survivors(groups, docs).collect()] == [(1, 1)]  # equal sizes: the smaller id
     gold = {r.group_id: r for r in survivors.golden_records(groups, docs).collect()}
     assert (gold[1].doc_id, gold[1].chars, gold[1].title, gold[1].author_name, gold[1].pub_year, gold[1].path) == (1, 10, "Title", "A", 1800, "s/2")
     assert (gold[3].doc_id, gold[3].n_records, gold[3].title) == (None, 2, None)
-    assert survivors.survivors(groups.where("false"), docs).collect() == []
+    assert survivors.golden_records(groups.where("false"), docs).collect() == []
 
 
 def test_fullest_is_the_best_subset():
@@ -48,14 +47,18 @@ def test_fullest_is_the_best_subset():
 def test_packing_keeps_every_id_once(spark):
     rows = [(i, [i] * n, "n") for i, n in enumerate([3, 10, 7, 25, 1, 1, 6, 10, 4], 1)] + [(20, None, "n"), (21, [], "n"), (None, [1], "n"), (2, [2] * 10, "n")]
     df = spark.createDataFrame(rows, "seq_id bigint, input_ids array<int>, piece string")
-    out = binpack.pack_rows(df, 10).collect()
+    for part_rows in (1, 50_000):
+        _check_rows(binpack.pack_rows(df, Scratch(spark, "t"), 10, part_rows=part_rows).collect())
+    assert binpack.pack_rows(df.where("false"), Scratch(spark, "t"), 10).collect() == []
+
+
+def _check_rows(out):
     assert all(r.n_ids == len(r.input_ids) <= 10 for r in out)
     flat = sorted(x for r in out for x in r.input_ids)
     assert flat == sorted(x for i, n in enumerate([3, 10, 7, 25, 1, 1, 6, 10, 4], 1) for x in [i] * n)
     whole = {k: [r.row_id for r in out if k in r["keys"]] for k in range(1, 10)}
     assert all(len(v) == 1 for k, v in whole.items() if k != 4) and len(whole[4]) == 3
     assert len(out) == 7
-    assert binpack.pack_rows(df.where("false"), 10).collect() == []
 
 
 def _lcs(a, b):
