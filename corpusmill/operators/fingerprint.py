@@ -49,6 +49,19 @@ def simhash64(words: list[list[str]]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def content_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 200) -> DataFrame:
+    """``key``, ``chars``, ``sha1`` as of :func:`fingerprint`, in one native pass: exact copies need no fingerprint."""
+    norm = docs.select(key, normalize(F.col(text)).alias("_norm")).where(F.length("_norm") >= min_chars)
+    return norm.select(key, F.length("_norm").alias("chars"), content_hash(F.col("_norm")).alias("sha1"))
+
+
+def status_counts(docs: DataFrame, text: str = "text", min_chars: int = 200) -> DataFrame:
+    """``status``, ``n``: texts that get a fingerprint (``ok``), are ``too_short`` after normalization, or are ``unreadable``, that is null."""
+    norm = normalize(F.col(text))
+    status = F.when(F.col(text).isNull(), "unreadable").when(F.length(norm) < min_chars, "too_short").otherwise("ok")
+    return docs.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 200) -> DataFrame:
     """``key``, ``chars``, ``simhash`` (BIGINT bit pattern), ``sha1`` of texts of at least ``min_chars`` normal characters.
 

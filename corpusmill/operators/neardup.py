@@ -1,4 +1,4 @@
-"""Near duplicates: banded candidates, shingle scores, groups, and the corpus without losers.
+"""Near duplicates: banded candidates, exact shingle joins, scores, groups, and the corpus without losers.
 
 Copies with one normal form are collapsed first, so that a text that fills a third of the corpus is
 one class; pairs are between representatives and classes come back with the membership.
@@ -6,9 +6,11 @@ one class; pairs are between representatives and classes come back with the memb
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import arrow_map
@@ -98,6 +100,106 @@ def shingles(docs: DataFrame, n: int = 7) -> DataFrame:
     return arrow_map(norm, run, "doc_id bigint, s array<bigint>")
 
 
+def ranked_shingles(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id``, ``n``, ``t``, ``rank`` of the shingles that more than one document has, the rarest first.
+
+    Shingles of one document alone rank before all others; there is no need to keep or join them, only their number
+    counts. ``own`` has one row for each document, so ranks are taken within one text.
+    """
+    flat = own.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    common = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    w = Window.partitionBy("doc_id")
+    rank = F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("df", "t"))
+    return scratch.save(flat.join(common, "t").select("doc_id", "n", "t", rank.alias("rank")))
+
+
+def similar_pairs(own: DataFrame, scratch: Scratch, jaccard: float | None = None, containment: float | None = None, extra: DataFrame | None = None, condition: Column | None = None) -> DataFrame:
+    """``a``, ``b``, ``i``, ``na``, ``nb``: all pairs whose shingle sets reach a Jaccard similarity or a containment, with the size of their intersection.
+
+    A prefix filter: if two sets share so much, one of the rarest shingles of one of them, as many as may be missing
+    and one more, is in the other's prefix too (Jaccard), or anywhere in the larger one (containment of the smaller).
+    So no pair is missed, and frequent phrases are no join keys but for texts of nothing else.
+
+    :param extra: ``doc_id`` and columns, and a :param condition: on them as ``l.`` and ``r.``, that pairs must meet as well.
+    """
+    rows = ranked_shingles(own, scratch)
+    share = jaccard if jaccard is not None else containment
+    n = F.col("n")
+    prefix = F.col("rank") <= n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1
+    left = rows.where(prefix)
+    right = left if jaccard is not None else rows
+    if extra is not None:
+        left, right = left.join(extra, "doc_id"), right.join(extra, "doc_id")
+    if jaccard is not None:
+        fits = (F.col("l.doc_id") < F.col("r.doc_id")) & (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * F.lit(jaccard) - F.lit(1e-9))
+    else:
+        fits = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.doc_id") < F.col("r.doc_id")))
+    met = left.alias("l").join(right.alias("r"), (F.col("l.t") == F.col("r.t")) & fits & (condition if condition is not None else F.lit(True)))
+    pairs = met.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
+    sets = own.select("doc_id", "s")
+    wide = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    sized = wide.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+    if jaccard is not None:
+        return sized.where(F.col("i") >= (F.col("na") + F.col("nb") - F.col("i")) * F.lit(jaccard) - F.lit(1e-9))
+    return sized.where(F.col("i") >= F.least("na", "nb") * F.lit(containment) - F.lit(1e-9))
+
+
+def near_duplicate_classes(docs: DataFrame, scratch: Scratch, n: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """``doc_id``, ``class_id``, ``n_links`` for every document.
+
+    Texts are linked if their sets of runs of ``n`` words of the normal form have a Jaccard similarity of ``jaccard``;
+    a class is what is linked directly or through others, named by its smallest id. Texts with one normal form are in
+    one class whatever their length; ``n_links`` counts the other normal forms that a document's text is linked with.
+    Null texts are alone; empty ones are copies of each other. Ids are unique; repeated rows count once.
+    """
+    norm = docs.select("doc_id", normalize(F.col("text")).alias("text")).where("doc_id is not null").dropDuplicates(["doc_id"])
+    copies = scratch.save(norm.select("doc_id", F.coalesce(F.sha1("text"), F.concat(F.lit("null "), F.col("doc_id").cast("string"))).alias("sha1")))
+    reps = scratch.save(copies.groupBy("sha1").agg(F.min("doc_id").alias("rep")))
+    own = scratch.save(shingles(norm.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), n).where(F.size("s") > 0))
+    links = scratch.save(similar_pairs(own, scratch, jaccard=jaccard).select("a", "b"))
+    groups = connected_groups(links, scratch)
+    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    named = reps.join(groups.select(F.col("id").alias("rep"), "group_id"), "rep", "left").join(degree, "rep", "left")
+    return copies.join(named, "sha1").select("doc_id", F.coalesce("group_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def accepted_pairs(
+    prints: DataFrame, docs: DataFrame, scratch: Scratch, min_similarity: float = 0.9, n: int = 7, min_shingles: int = 10, jaccard: float = 0.9, containment: float = 0.95, n_bands: int = 4
+) -> DataFrame:
+    """The pairs that :func:`score_pairs` accepts in mode ``either``, without scoring all candidates.
+
+    Either rule means that a part of the smaller text's shingles is in the other one, so an exact shingle join finds
+    the pairs; fingerprints within the distance and with a band in common are a condition of the join.
+    """
+    reps = scratch.save(representatives(prints))
+    own = scratch.save(shingles(docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), n).where(F.size("s") >= min_shingles))
+    d = hamming(F.col("l.simhash"), F.col("r.simhash"))
+    x = F.col("l.simhash").bitwiseXOR(F.col("r.simhash"))
+    shared = [F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) == 0 for at, w in band_widths(n_bands)]
+    near = (similarity(d) >= min_similarity) & reduce(lambda p, q: p | q, shared)
+    got = similar_pairs(own, scratch, containment=min(jaccard, containment), extra=reps.select("doc_id", "simhash"), condition=near)
+    both = got.join(reps.select(F.col("doc_id").alias("a"), F.col("simhash").alias("ha")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("simhash").alias("hb")), "b")
+    both = both.withColumn("distance", hamming(F.col("ha"), F.col("hb")).cast("bigint"))
+    scored = both.select(
+        "a", "b", "distance", similarity(F.col("distance")).alias("simhash_similarity"), (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("word_shingle_jaccard"),
+        (F.col("i") / F.least("na", "nb")).alias("word_shingle_containment"), F.col("na").cast("bigint").alias("len_shingles_a"), F.col("nb").cast("bigint").alias("len_shingles_b"),
+    )
+    return scored.where(accepted("either", jaccard, containment))
+
+
+def match_rows(links: DataFrame, docs: DataFrame, fields: tuple[str, ...] = ("path", "source", "chars", "simhash", "sha1")) -> DataFrame:
+    """The links with the ``fields`` of both documents, as ``*_a`` and ``*_b``."""
+    own = docs.select("doc_id", *fields)
+    for side in "ab":
+        links = links.join(own.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in fields]), side, "left")
+    return links
+
+
+def to_remove(links: DataFrame, jaccard: float = 0.9, containment: float = 0.9) -> DataFrame:
+    """Links that the removal rule takes: either score reaches its limit. A containment is never below the Jaccard similarity."""
+    return links.where(accepted("either", jaccard, containment))
+
+
 def accepted(mode: str, jaccard: float, containment: float) -> Column:
     """The acceptance rule: ``jaccard``, ``containment``, ``both`` or ``either``."""
     j, c = F.col("word_shingle_jaccard") >= jaccard, F.col("word_shingle_containment") >= containment
@@ -140,7 +242,7 @@ def duplicate_groups(prints: DataFrame, links: DataFrame, scratch: Scratch) -> D
 def deduplicated(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """The documents without the losers of their groups."""
     prints = scratch.save(fingerprint(docs))
-    links = scratch.save(score_pairs(scratch.save(candidate_pairs(representatives(prints))), docs, **how))
+    links = scratch.save(accepted_pairs(prints, docs, scratch, **how))
     groups = duplicate_groups(prints, links, scratch)
     return docs.join(groups.where("not keep").select("doc_id"), "doc_id", "left_anti")
 

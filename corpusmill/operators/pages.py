@@ -55,21 +55,21 @@ def truthy_languages(languages: Column) -> Column:
 
 
 def assemble_scans(records: DataFrame, language: str | None = "English", min_pages: int = 100) -> DataFrame:
-    """``file_name``, ``title``, ``languages``, ``n_pages``, ``text``: books of their pages in order.
+    """``file_name``, ``n_pages``, ``text`` and the metadata of a file's first record: ``record_id``, ``author_name``, ``title``, ``publisher``, ``physical_description``, ``languages``.
 
     The language is that of a file's first record alone, and a file in several languages is left out. Pages
     without text don't count. Records delivered again count once, the last delivery. ``None`` takes all languages.
     """
+    meta = [c for c in ("record_id", "author_name", "title", "publisher", "physical_description") if c in records.columns]
     last = records.where("file_name is not null").groupBy("file_name", "rec_idx").agg(
-        F.max_by(F.struct("title", "language_map", "multi_language", "text"), F.struct(F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp")), "rec_id")).alias("r")
+        F.max_by(F.struct(*meta, "language_map", "multi_language", "text"), F.struct(F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp")), "rec_id")).alias("r")
     )
     page = F.when(F.col("r.text") != "", F.struct("rec_idx", F.col("r.text").alias("text")))
-    books = last.groupBy("file_name").agg(
-        F.min_by(F.struct("r.title", F.coalesce(truthy_languages(F.col("r.language_map")), F.array().cast("array<string>")).alias("languages"), F.coalesce("r.multi_language", F.lit(False)).alias("multi")), "rec_idx").alias("first"),
-        F.sort_array(F.collect_list(page)).alias("pages"),
-    )
+    names = F.coalesce(truthy_languages(F.col("r.language_map")), F.array().cast("array<string>"))
+    first = F.struct(*[F.col(f"r.{c}") for c in meta], names.alias("languages"), F.coalesce("r.multi_language", F.lit(False)).alias("multi"))
+    books = last.groupBy("file_name").agg(F.min_by(first, "rec_idx").alias("first"), F.sort_array(F.collect_list(page)).alias("pages"))
     out = books.select(
-        "file_name", "first.title", "first.languages", F.col("first.multi").alias("multi"), F.size("pages").cast("bigint").alias("n_pages"),
+        "file_name", *[f"first.{c}" for c in (*meta, "languages")], F.col("first.multi").alias("multi"), F.size("pages").cast("bigint").alias("n_pages"),
         F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"),
     ).where(F.col("n_pages") >= min_pages)
     if language is not None:
@@ -100,23 +100,41 @@ def clean_segments(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("sentences", kept).drop("_raw")
 
 
-def assemble_issues(segments: DataFrame, min_lines: int = 10, min_words: int = 2000) -> DataFrame:
-    """``issue_id``, ``n_lines``, ``n_words``, ``text``: issues of their titles and texts in reading order.
+def issue_lines(segments: DataFrame) -> DataFrame:
+    """``issue_id``, ``place``, ``sentences``: the clean lines of each segment of titles and texts, with its place in reading order.
 
-    At least ``min_lines`` lines and more than ``min_words`` words. Segments delivered again count once, the
-    last delivery. An issue of any size is one row in the end, so its partial lists meet in one task; sort
-    keys and lines alone go there.
+    Segments delivered again count once, the last delivery. Rows stay segments, so an issue that holds most of the
+    table is spread like any other.
     """
     last = segments.where("issue_id is not null and seg_id is not null").groupBy("seg_id").agg(
         F.max_by(F.struct("issue_id", "page_number", "block_no", "col_no", "reading_order", "seg_class", "content"), F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp"))).alias("r")
     ).select("seg_id", "r.*")
     own = clean_segments(last.where(F.col("seg_class").isin("title", "text"))).where(F.size("sentences") > 0)
-    order = F.struct("page_number", "block_no", "col_no", "reading_order", "seg_id", "sentences")
-    issues = own.groupBy("issue_id").agg(F.sort_array(F.collect_list(order)).alias("parts"))
-    issues = issues.select("issue_id", F.flatten(F.transform("parts", lambda p: p["sentences"])).alias("lines"))
-    out = issues.select("issue_id", F.size("lines").cast("bigint").alias("n_lines"), F.array_join("lines", "\n").alias("text"))
-    out = out.withColumn("n_words", pystr.word_count(F.col("text")))
-    return out.where((F.col("n_lines") >= min_lines) & (F.col("n_words") > min_words))
+    return own.select("issue_id", F.struct("page_number", "block_no", "col_no", "reading_order", "seg_id").alias("place"), "sentences")
+
+
+def issue_sizes(lines: DataFrame, min_lines: int = 10, min_words: int = 2000) -> DataFrame:
+    """``issue_id``, ``n_lines``, ``n_words`` of issues with at least ``min_lines`` lines and more than ``min_words`` words; partial sums before the shuffle."""
+    n_words = F.aggregate("sentences", F.lit(0).cast("bigint"), lambda n, s: n + pystr.word_count(s))
+    sized = lines.groupBy("issue_id").agg(F.sum(F.size("sentences")).cast("bigint").alias("n_lines"), F.sum(n_words).cast("bigint").alias("n_words"))
+    return sized.where((F.col("n_lines") >= min_lines) & (F.col("n_words") > min_words))
+
+
+def assemble_issues(lines: DataFrame, sizes: DataFrame, most_lines: int) -> DataFrame:
+    """``issue_id``, ``n_lines``, ``n_words``, ``text``: issues of at most ``most_lines`` lines as one text each, in reading order.
+
+    An issue's text is one row, so it is built in one task; how large that may be is for the caller to say. Larger
+    issues have no text here: their lines are the rows of :func:`issue_lines`.
+    """
+    wanted = lines.join(sizes.where(F.col("n_lines") <= most_lines), "issue_id")
+    issues = wanted.groupBy("issue_id", "n_lines", "n_words").agg(F.sort_array(F.collect_list(F.struct("place", "sentences"))).alias("parts"))
+    text = F.array_join(F.flatten(F.transform("parts", lambda p: p["sentences"])), "\n")
+    return issues.select("issue_id", "n_lines", "n_words", text.alias("text"))
+
+
+def issue_name(file: Column, issue: Column) -> Column:
+    """``file_article-issue``: the name of an issue's text."""
+    return F.concat(file, F.lit("_article-"), issue.cast("string"))
 
 
 # ---------------------------------------------------------------- corrected articles

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusmill.functions import pystr
 from corpusmill.functions.arrow import arrow_map
@@ -15,6 +16,25 @@ def keyed_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def in_keyed_order(seqs: DataFrame, seed: int, key: str = "seq_id") -> DataFrame:
+    """The sequences with ``key`` replaced by a text that sorts in keyed order; the old key is its end."""
+    return seqs.withColumn(key, F.concat(keyed_order(F.col(key), seed), F.lit(":"), F.lpad(F.col(key).cast("string"), 20, "0")))
+
+
+def without_newlines(text: Column) -> Column:
+    """Every line end as one blank, for a tokenizer that is to see no lines."""
+    return F.regexp_replace(text, "\r\n?|\n", " ")
+
+
+def staged(rows: DataFrame, shares: list[float], key: str = "block") -> DataFrame:
+    """Adds ``stage``: rows in order of ``key`` (0 to n - 1) given to stages by shares of all rows; the last stage takes the rest."""
+    n = rows.count()
+    stage, done = F.lit(len(shares) - 1), 0.0
+    for i, share in reversed(list(enumerate(shares[:-1]))):
+        stage = F.when(F.col(key) < int(n * sum(shares[: i + 1])), i).otherwise(stage)
+    return rows.withColumn("stage", stage)
+
+
 def stratified_split(docs: DataFrame, percent: float = 1, seed: int = 123, key: str = "doc_id", stratum: str = "source", buckets: int = 256) -> DataFrame:
     """Adds ``split``: ``val`` for ``max(1, n * percent / 100)`` rows of each stratum by keyed hash, else ``train``.
 
@@ -50,11 +70,15 @@ def offsets(seqs: DataFrame, key: str = "seq_id", ids: str = "input_ids", ranges
     Null and empty sequences are left out. Rows repeated with one key count once.
     """
     rows = seqs.where(F.col(key).isNotNull() & (F.size(ids) > 0)).groupBy(key).agg(F.max(ids).alias(ids)).withColumn("n", F.size(ids).cast("bigint"))
-    span = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
-    step = (hi - lo) // ranges + 1
-    rows = rows.withColumn("_r", F.floor((F.col(key) - lo) / step))
-    total = rows.groupBy("_r").agg(F.sum("n").alias("_t"))  # at most ``ranges`` rows
+    if isinstance(seqs.schema[key].dataType, StringType):
+        # Texts in keyed order: their first digits are ranges of equal size.
+        rows = rows.withColumn("_r", F.conv(F.substring(key, 1, 3), 16, 10).cast("bigint"))
+    else:
+        span = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("k")).first()
+        lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
+        step = (hi - lo) // max(ranges, span["k"] // 100_000) + 1
+        rows = rows.withColumn("_r", F.floor((F.col(key) - lo) / step))
+    total = rows.groupBy("_r").agg(F.sum("n").alias("_t"))  # one row for each range
     before = total.withColumn("_o", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_r", "_o")
     own = F.coalesce(F.sum("n").over(Window.partitionBy("_r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_own", own).join(before, "_r").select(key, ids, "n", (F.col("_own") + F.col("_o")).alias("off"))
@@ -137,7 +161,7 @@ def render_chat(turns: DataFrame, conv: str = "conv_id", generation_prompt: bool
 
 
 def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``word``, ``n``: how often each word, its preceding blank included in the count of words, stands in the corpus."""
+    """``word``, ``n``: how often each word between blanks stands in the corpus."""
     return docs.select(F.explode(pystr.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

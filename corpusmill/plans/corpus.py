@@ -28,8 +28,7 @@ def _saved(spark: SparkSession, sf_dir: str) -> tuple[Scratch, DataFrame]:
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[Scratch, DataFrame, DataFrame]:
     scratch, prints = _saved(spark, sf_dir)
-    pairs = scratch.save(neardup.candidate_pairs(neardup.representatives(prints)))
-    return scratch, prints, scratch.save(neardup.score_pairs(pairs, _docs(spark, sf_dir)))
+    return scratch, prints, scratch.save(neardup.accepted_pairs(prints, _docs(spark, sf_dir), scratch))
 
 
 def normalize_text(spark, sf_dir):
@@ -47,7 +46,11 @@ def word_and_line_counts(spark, sf_dir):
 
 
 def exact_dup_groups(spark, sf_dir):
-    return neardup.exact_groups(_prints(spark, sf_dir)).where("n_docs > 1")
+    return neardup.exact_groups(fingerprint.content_hashes(_docs(spark, sf_dir))).where("n_docs > 1")
+
+
+def fingerprint_status(spark, sf_dir):
+    return fingerprint.status_counts(_docs(spark, sf_dir))
 
 
 def simhash_fingerprint(spark, sf_dir):
@@ -98,6 +101,24 @@ def accepted_matches(spark, sf_dir):
     return links.select("a", "b", "distance", "simhash_similarity", F.round("word_shingle_jaccard", 6).alias("jaccard"), F.round("word_shingle_containment", 6).alias("containment"), "len_shingles_a", "len_shingles_b")
 
 
+def match_rows(spark, sf_dir):
+    _, prints, links = _links(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select("doc_id", "path", "source")
+    out = neardup.match_rows(neardup.match_rows(links, prints, ("chars", "simhash", "sha1")), docs, ("path", "source"))
+    return out.select("a", "b", *[f"{c}_{s}" for c in ("path", "source", "chars", "simhash", "sha1") for s in "ab"], "simhash_similarity", F.round("word_shingle_jaccard", 6).alias("word_shingle_jaccard"))
+
+
+def removal_rule(spark, sf_dir):
+    """Accepted pairs that the removal rule takes, and those that a stricter containment would leave."""
+    links = _links(spark, sf_dir)[2]
+    return neardup.to_remove(links).select("a", "b", (F.col("word_shingle_containment") >= 0.99).alias("nearly_whole"))
+
+
+def near_dup_classes(spark, sf_dir):
+    """Classes of texts whose sets of five words have a Jaccard similarity of 0.8."""
+    return neardup.near_duplicate_classes(_docs(spark, sf_dir), Scratch(spark, "classes"))
+
+
 def accepted_counts(spark, sf_dir):
     """How many pairs each acceptance mode takes."""
     scratch, prints = _saved(spark, sf_dir)
@@ -148,9 +169,26 @@ def scan_clean(spark, sf_dir):
     return pages.clean_scans(rows).select("rec_id", F.array_join("lines", "\n").alias("clean"))
 
 
+def books_by_default(spark, sf_dir):
+    """The book rules with their own limits: sections between blank lines, 50 of them and 2,000 words."""
+    out = books.clean_books(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.size("kept").cast("bigint").alias("n_kept"), F.md5("clean").alias("digest"), F.size("rejected").cast("bigint").alias("n_rejected"), "big_enough")
+
+
+def excluded_works(spark, sf_dir):
+    """Documents without those of two excluded works, the smallest names of the table."""
+    docs = _docs(spark, sf_dir).select("doc_id", "work_id")
+    return neardup.without_excluded(docs, docs.where("work_id is not null").select("work_id").distinct().orderBy("work_id").limit(2), "work_id").select("doc_id")
+
+
+def tokenizer_lines(spark, sf_dir):
+    """Texts as a tokenizer reads them, line ends replaced by blanks."""
+    return _docs(spark, sf_dir).select("doc_id", F.md5(training.without_newlines(F.coalesce("text", F.lit("")))).alias("digest"))
+
+
 def scan_books(spark, sf_dir):
     out = pages.assemble_scans(table(spark, sf_dir, "scan_records"), min_pages=20)
-    return out.select("file_name", "title", "n_pages", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+    return out.select("file_name", "record_id", "author_name", "publisher", "physical_description", "title", "n_pages", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def news_clean(spark, sf_dir):
@@ -159,8 +197,14 @@ def news_clean(spark, sf_dir):
 
 
 def news_issues(spark, sf_dir):
-    out = pages.assemble_issues(table(spark, sf_dir, "news_segments"))
-    return out.select("issue_id", "n_lines", "n_words", F.md5("text").alias("digest"))
+    """Issues as texts; a million lines is the most that one row may hold."""
+    lines = Scratch(spark, "issues").save(pages.issue_lines(table(spark, sf_dir, "news_segments")))
+    out = pages.assemble_issues(lines, pages.issue_sizes(lines), 1_000_000)
+    return out.select("issue_id", pages.issue_name(F.lit("news"), F.col("issue_id")).alias("name"), "n_lines", "n_words", F.md5("text").alias("digest"))
+
+
+def news_issue_sizes(spark, sf_dir):
+    return pages.issue_sizes(pages.issue_lines(table(spark, sf_dir, "news_segments")))
 
 
 def ocr_clean(spark, sf_dir):
@@ -187,6 +231,12 @@ def packed_blocks(spark, sf_dir):
     return training.pack_blocks(_seqs(spark, sf_dir), CONTEXT).select("block", F.md5(F.array_join("input_ids", ",")).alias("digest"), F.array_join("file_names", "|").alias("names"))
 
 
+def packed_shuffled(spark, sf_dir):
+    """Blocks of the sequences in keyed order, as for training."""
+    out = training.pack_blocks(training.in_keyed_order(_seqs(spark, sf_dir), 123), CONTEXT)
+    return out.select("block", F.md5(F.array_join("input_ids", ",")).alias("digest"))
+
+
 def pack_totals(spark, sf_dir):
     return training.pack_totals(_seqs(spark, sf_dir), CONTEXT)
 
@@ -220,6 +270,12 @@ def chat_render(spark, sf_dir):
     return training.render_chat(turns, generation_prompt=True)
 
 
+def data_stages(spark, sf_dir):
+    """Two stages of training: rows of the first tenth of the steps, and the rest."""
+    rows = training.pack_blocks(_seqs(spark, sf_dir), CONTEXT).select("block")
+    return training.staged(rows, [0.1, 0.9])
+
+
 def pretoken_counts(spark, sf_dir):
     return training.pretoken_counts(_docs(spark, sf_dir))
 
@@ -229,6 +285,7 @@ def bpe_pair_counts(spark, sf_dir):
 
 
 _LOCAL = [
+    fingerprint_status, match_rows, removal_rule, near_dup_classes, books_by_default, excluded_works, tokenizer_lines, news_issue_sizes, packed_shuffled, data_stages,
     normalize_text, min_length_filter, word_and_line_counts, exact_dup_groups, simhash_fingerprint, lsh_bands, bucket_histogram, bucket_report, top_buckets, dedup_manifest, near_dup_matches, match_statistics,
     shingle_counts, accepted_matches, accepted_counts, dup_components, keep_longest, dedup_corpus, section_flags, book_sections, book_kept, book_rejected, scan_clean, scan_books, news_clean, news_issues,
     ocr_clean, val_split, split_counts, sampled_documents, packed_blocks, pack_totals, validate_packed, shifted_rows, repeated_rows, training_plan, chat_render, pretoken_counts, bpe_pair_counts,
@@ -296,10 +353,14 @@ _END = books.END_MARK.replace("(?md)", "(?m)")
 _BODY = _strip(f"regexp_split_to_array(regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '{_START}')[-1], '{_END}')[1]")
 _LONG = "regexp_replace(regexp_replace(replace({0}, '---', repeat(chr(57344), 3)), chr(57344) || '-', chr(57344) || chr(57344), 'g'), chr(57344) || '-', chr(57344) || chr(57344), 'g')"
 _DASHED = f"replace(regexp_replace({_LONG.format('s')}, '[{WS}]?--[{WS}]?', ' -- ', 'g'), chr(57344), '-')"
-_SECTIONS = f"""raw AS (SELECT doc_id, i, {_strip("replace(s, '_', '')")} AS s FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_filter(string_split(coalesce({_BODY}, ''), chr(10)), lambda s: s <> '') AS p FROM documents))),
+def _sections(separator: str) -> str:
+    return f"""raw AS (SELECT doc_id, i, {_strip("replace(replace(s, chr(10), ' '), '_', '')")} AS s FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_filter(string_split(coalesce({_BODY}, ''), {separator}), lambda s: s <> '') AS p FROM documents))),
 dashed AS (SELECT doc_id, i, s, {_DASHED} AS d FROM raw),
 parts AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS pos, array_to_string({_words("regexp_replace(d, '\\[[0-9]+\\]', '', 'g')")}, ' ') AS s
 FROM dashed WHERE NOT (starts_with(s, '[') AND ends_with(s, ']')) AND regexp_matches(d, '[0-9A-Za-z]') AND NOT starts_with(d, 'End of Project Gutenberg'))"""
+
+
+_SECTIONS = _sections("chr(10)")
 # RE2 has no look-ahead; a numeral is not empty and no lone dot.
 _ROMAN = books.ROMAN.replace("(?=[MDCLXVI])", "")
 _DIGIT = pystr.DIGITS
@@ -320,7 +381,8 @@ def _flags(s: str) -> dict[str, str]:
 _F = _flags("s")
 _MODERN = " OR ".join(f"contains(s, '{w}')" for w in books.MODERN_WORDS)
 _ENDS = " OR ".join(f"starts_with(s, '{w}')" for w in books.END_KEYWORDS)
-_BOOKS = f"""WITH {_SECTIONS},
+def _books_sql(separator: str) -> str:
+    return f"""WITH {_sections(separator)},
 around AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY pos), '') AS nxt FROM parts),
 judged AS (SELECT *, ((pos < 16 AND len({_words("s")}) < 8) OR (pos < greatest(200, n // 8) AND ({" OR ".join(_F[k] for k in ("toc", "chapter", "page_number", "email", "roman"))})) OR {_F["upper"]}
 OR contains(s, '+----') OR contains(s, '┌') OR {_count("s", "|")} > 2 OR {_count("s", "│")} > 1) AS at_once,
@@ -329,6 +391,9 @@ cut AS (SELECT doc_id, min(pos) FILTER (last_part AND NOT at_once) AS c FROM jud
 final AS (SELECT doc_id, pos, s, NOT at_once AND NOT later AND pos < coalesce(c, n) AS keep FROM judged JOIN cut USING (doc_id)),
 texts AS (SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY pos) FILTER (keep), '') AS kept, count(*) FILTER (keep) AS n_kept, count(*) FILTER (NOT keep) AS n_rejected, coalesce(string_agg(s, chr(10) ORDER BY pos) FILTER (NOT keep), '') AS rejected FROM final GROUP BY doc_id)"""
 
+
+_BOOKS = _books_sql("chr(10)")
+
 _SCAN_LINE = f"""SELECT rec_id, i, CASE WHEN length(r) > length(l) THEN r ELSE s END AS s FROM (SELECT *, regexp_extract(s, '^(.*?)\\b\\d{{1,3}}\\b(.*)$', 1) AS l, CASE WHEN regexp_matches(s, '\\b\\d{{1,3}}\\b') THEN regexp_extract(s, '^(.*?)\\b\\d{{1,3}}\\b(.*)$', 2) END AS r FROM lines
 WHERE NOT ({_upper(r"regexp_replace(s, '[^\p{L}\p{N}_]', '', 'g')")} OR {_count("s", "- - -")} > 1 OR {_count("s", ". . . .")} > 2))"""
 _SCANS = f"""WITH rows AS (SELECT DISTINCT rec_id, text FROM scan_records),
@@ -366,7 +431,32 @@ _OCR_LINES = f"""lines AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p,
 good AS (SELECT doc_id, s, min(i) AS i FROM lines WHERE s <> '' AND NOT {_upper("s")} AND len({_words("s")}) > 8 GROUP BY doc_id, s),
 texts AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY i) AS clean, count(*) AS n FROM good GROUP BY doc_id)"""
 
+_NEWS_ROWS = _news("WITH last AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY loaded_at DESC NULLS LAST) AS k FROM news_segments WHERE issue_id IS NOT NULL), rows AS (SELECT * FROM last WHERE k = 1 AND seg_class IN ('title', 'text'))")
+_CLASSES = f"""norm AS (SELECT doc_id, array_to_string({_words(rf"lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_,.?!\-&{WS}]', '', 'g'))")}, ' ') AS norm FROM documents),
+copies AS (SELECT doc_id, norm, min(doc_id) OVER (PARTITION BY coalesce(norm, 'null ' || doc_id)) AS rep FROM norm),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, string_split(norm, ' ') AS w FROM copies WHERE rep = doc_id))),
+ns AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN ns x ON x.doc_id = a JOIN ns y ON y.doc_id = b WHERE i >= 0.8::DOUBLE * (x.n + y.n - i) - 1e-9),
+both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT x AS id, y AS to_id FROM both_ways UNION SELECT r.id, e.y FROM reach r JOIN both_ways e ON e.x = r.to_id),
+comp AS (SELECT id, least(id, min(to_id)) AS class_id FROM reach GROUP BY id),
+deg AS (SELECT x AS id, count(*) AS n_links FROM both_ways GROUP BY x)"""
+
 SQL = {
+    "near_dup_classes": f"WITH RECURSIVE {_CLASSES} SELECT doc_id, coalesce(class_id, rep) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM copies LEFT JOIN comp c ON c.id = rep LEFT JOIN deg d ON d.id = rep",
+    "fingerprint_status": f"WITH {_NORM} SELECT CASE WHEN norm IS NULL THEN 'unreadable' WHEN length(norm) < 200 THEN 'too_short' ELSE 'ok' END AS status, count(*) AS n FROM norm GROUP BY 1",
+    "match_rows": f"WITH {_SCORES} SELECT l.a, l.b, {', '.join(f'{t}{s}.{c} AS {c}_{s}' for c, t in (('path', 'd'), ('source', 'd'), ('chars', 'p'), ('simhash', 'p'), ('sha1', 'p')) for s in 'ab')}, simhash_similarity, round(jaccard, 6) AS word_shingle_jaccard FROM links l JOIN documents da ON da.doc_id = l.a JOIN documents db ON db.doc_id = l.b JOIN prints pa ON pa.doc_id = l.a JOIN prints pb ON pb.doc_id = l.b",
+    "removal_rule": f"WITH {_SCORES} SELECT a, b, containment >= 0.99 AS nearly_whole FROM links WHERE jaccard >= 0.9 OR containment >= 0.9",
+    "books_by_default": f"{_books_sql('chr(10) || chr(10)')} SELECT d.doc_id, coalesce(n_kept, 0) AS n_kept, md5(coalesce(kept, '')) AS digest, coalesce(n_rejected, 0) AS n_rejected, coalesce(n_kept >= 50 AND len({_words('kept')}) >= 2000, false) AS big_enough FROM documents d LEFT JOIN texts t USING (doc_id)",
+    "excluded_works": "SELECT doc_id FROM documents WHERE work_id IS NULL OR work_id NOT IN (SELECT work_id FROM (SELECT DISTINCT work_id FROM documents WHERE work_id IS NOT NULL) ORDER BY work_id LIMIT 2)",
+    "tokenizer_lines": r"SELECT doc_id, md5(replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10), ' ')) AS digest FROM documents",
+    "news_issue_sizes": f"{_NEWS_ROWS} SELECT issue_id, count(*) AS n_lines, sum(len(w))::BIGINT AS n_words FROM good g JOIN rows USING (seg_id) GROUP BY issue_id HAVING count(*) >= 10 AND sum(len(w)) > 2000",
+    "packed_shuffled": f"""WITH seqs AS (SELECT seq_id, max(input_ids) AS ids FROM token_files WHERE len(input_ids) > 0 GROUP BY seq_id),
+ids AS (SELECT seq_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM seqs),
+numbered AS (SELECT id, row_number() OVER (ORDER BY md5('123:' || seq_id), seq_id, i) - 1 AS p FROM ids)
+SELECT p // {CONTEXT + 1} AS block, md5(array_to_string(list(id ORDER BY p), ',')) AS digest FROM numbered GROUP BY 1 HAVING count(*) = {CONTEXT + 1}""",
+    "data_stages": f"WITH {_TOTALS}, b AS (SELECT unnest(range(n_blocks)) AS block, n_blocks FROM totals) SELECT block, CASE WHEN block < floor(n_blocks * 0.1::DOUBLE) THEN 0 ELSE 1 END AS stage FROM b",
     "normalize_text": f"WITH {_NORM} SELECT doc_id, norm FROM norm",
     "min_length_filter": f"WITH {_NORM} SELECT doc_id, length(norm) AS chars FROM norm WHERE length(norm) >= 200",
     "word_and_line_counts": f"SELECT doc_id, coalesce(len({_words('text')}), 0)::BIGINT AS n_words, coalesce(len({_lines('text')}), 0)::BIGINT AS n_lines FROM documents",
@@ -394,13 +484,13 @@ SELECT doc_id, pos, {", ".join(f"{v} AS {k}" for k, v in _F.items())} FROM parts
     "scan_books": """WITH last AS (SELECT *, row_number() OVER (PARTITION BY file_name, rec_idx ORDER BY loaded_at DESC NULLS LAST, rec_id DESC) AS k FROM scan_records WHERE file_name IS NOT NULL),
 one AS (SELECT * FROM last WHERE k = 1),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY rec_idx) AS f FROM one),
-good AS (SELECT file_name, title FROM firsts WHERE f = 1 AND list_contains(map_values(language_map), 'English') AND NOT coalesce(multi_language, false)),
+good AS (SELECT file_name, record_id, author_name, publisher, physical_description, title FROM firsts WHERE f = 1 AND list_contains(map_values(language_map), 'English') AND NOT coalesce(multi_language, false)),
 texts AS (SELECT file_name, count(*) AS n_pages, string_agg(text, chr(10) ORDER BY rec_idx) AS t FROM one WHERE text <> '' GROUP BY file_name)
-SELECT file_name, title, n_pages, length(t) AS n_chars, md5(t) AS digest FROM good JOIN texts USING (file_name) WHERE n_pages >= 20""",
+SELECT file_name, record_id, author_name, publisher, physical_description, title, n_pages, length(t) AS n_chars, md5(t) AS digest FROM good JOIN texts USING (file_name) WHERE n_pages >= 20""",
     "news_clean": f"{_news('WITH rows AS (SELECT DISTINCT seg_id, content FROM news_segments)')}, texts AS (SELECT seg_id, string_agg(s, chr(10) ORDER BY i) AS clean FROM good GROUP BY seg_id) SELECT r.seg_id, coalesce(clean, '') AS clean FROM rows r LEFT JOIN texts t USING (seg_id)",
     "news_issues": f"""{_news("WITH last AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY loaded_at DESC NULLS LAST) AS k FROM news_segments WHERE issue_id IS NOT NULL), rows AS (SELECT * FROM last WHERE k = 1 AND seg_class IN ('title', 'text'))")},
 texts AS (SELECT issue_id, count(*) AS n_lines, sum(len(w))::BIGINT AS n_words, string_agg(g.s, chr(10) ORDER BY page_number NULLS FIRST, block_no NULLS FIRST, col_no NULLS FIRST, reading_order NULLS FIRST, seg_id, i) AS t FROM good g JOIN rows USING (seg_id) GROUP BY issue_id)
-SELECT issue_id, n_lines, n_words, md5(t) AS digest FROM texts WHERE n_lines >= 10 AND n_words > 2000""",
+SELECT issue_id, 'news_article-' || issue_id AS name, n_lines, n_words, md5(t) AS digest FROM texts WHERE n_lines >= 10 AND n_words > 2000""",
     "ocr_clean": f"WITH {_OCR_LINES} SELECT d.doc_id, coalesce(clean, '') AS clean, coalesce(n >= 10 AND len({_words('clean')}) > 500, false) AS big_enough FROM documents d LEFT JOIN texts USING (doc_id)",
     "val_split": f"WITH {_SPLIT} SELECT doc_id, source, split FROM split",
     "split_counts": f"WITH {_SPLIT} SELECT source, split, count(*) AS n_docs FROM split GROUP BY source, split",

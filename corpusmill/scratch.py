@@ -13,10 +13,12 @@ _LOCAL_DIR: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and all runs in one process."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="corpusmill-"))
         atexit.register(shutil.rmtree, _LOCAL_DIR[0], True)
@@ -27,15 +29,15 @@ class Scratch:
     """Parquet tables of one operator run.
 
     A table written here survives the loss of any executor, and reading it starts a new, short
-    lineage. ``drop`` removes tables that no later plan reads.
+    lineage. ``drop`` removes tables that no later plan reads; what is left goes when the process ends, on
+    every file system.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        if self.root.startswith("file://"):
-            atexit.register(shutil.rmtree, self.root[7:], True)
+        atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -46,9 +48,20 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in tables:
             path = getattr(df, "_scratch_path", None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        """Delete a folder while the session lives; without one, only a folder of this machine."""
+        sc = self.spark.sparkContext
+        if sc._jsc is not None and sc._jvm is not None:
+            try:
+                p = sc._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+                return
+            except Exception:  # the gateway is gone already
+                pass
+        if path.startswith("file://"):
+            shutil.rmtree(path[7:], True)
