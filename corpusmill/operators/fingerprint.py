@@ -15,7 +15,7 @@ from corpusmill.functions.arrow import arrow_map
 
 def normalize(text: Column) -> Column:
     """Lower case; only word characters, ``, . ? ! - &`` and single blanks; null stays null."""
-    kept = F.regexp_replace(pystr.newlines(text), rf"[^{pystr.WORD},.?!\-&{pystr.WS}]", "")
+    kept = F.regexp_replace(text, rf"[^{pystr.WORD},.?!\-&{pystr.WS}]", "")
     return pystr.squeeze(F.lower(kept))
 
 

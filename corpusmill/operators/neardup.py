@@ -120,7 +120,7 @@ def similar_pairs(own: DataFrame, scratch: Scratch, jaccard: float | None = None
     and one more, is in the other's prefix too (Jaccard), or anywhere in the larger one (containment of the smaller).
     So no pair is missed, and frequent phrases are no join keys but for texts of nothing else.
 
-    :param extra: ``doc_id`` and columns, and a :param condition: on them as ``l.`` and ``r.``, that pairs must meet as well.
+    :param extra: ``doc_id`` and columns, and a :param condition: on them as ``l.`` and ``r.``, that pairs must meet before they are scored.
     """
     rows = ranked_shingles(own, scratch)
     share = jaccard if jaccard is not None else containment
@@ -128,14 +128,15 @@ def similar_pairs(own: DataFrame, scratch: Scratch, jaccard: float | None = None
     prefix = F.col("rank") <= n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1
     left = rows.where(prefix)
     right = left if jaccard is not None else rows
-    if extra is not None:
-        left, right = left.join(extra, "doc_id"), right.join(extra, "doc_id")
     if jaccard is not None:
         fits = (F.col("l.doc_id") < F.col("r.doc_id")) & (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * F.lit(jaccard) - F.lit(1e-9))
     else:
         fits = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.doc_id") < F.col("r.doc_id")))
-    met = left.alias("l").join(right.alias("r"), (F.col("l.t") == F.col("r.t")) & fits & (condition if condition is not None else F.lit(True)))
+    met = left.alias("l").join(right.alias("r"), (F.col("l.t") == F.col("r.t")) & fits)
     pairs = met.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
+    if extra is not None and condition is not None:
+        l, r = extra.alias("l"), extra.alias("r")  # noqa: E741
+        pairs = pairs.join(l, F.col("a") == F.col("l.doc_id")).join(r, F.col("b") == F.col("r.doc_id")).where(condition).select("a", "b")
     sets = own.select("doc_id", "s")
     wide = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     sized = wide.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))

@@ -109,7 +109,7 @@ def issue_lines(segments: DataFrame) -> DataFrame:
     last = segments.where("issue_id is not null and seg_id is not null").groupBy("seg_id").agg(
         F.max_by(F.struct("issue_id", "page_number", "block_no", "col_no", "reading_order", "seg_class", "content"), F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp"))).alias("r")
     ).select("seg_id", "r.*")
-    own = clean_segments(last.where(F.col("seg_class").isin("title", "text"))).where(F.size("sentences") > 0)
+    own = clean_segments(last.where(F.col("seg_class").isin("title", "text")))
     return own.select("issue_id", F.struct("page_number", "block_no", "col_no", "reading_order", "seg_id").alias("place"), "sentences")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,6 +173,53 @@ def pair_counts(counts: DataFrame) -> DataFrame:
     return counts.where(F.length("word") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
 
 
+#: Where the files of public tokenizers lie.
+TOKENIZERS = os.environ.get("CORPUSMILL_TOKENIZERS", "/opt/tokenizers")
+
+
+def special_ids(tokenizer_json: str, tokens: tuple[str, ...] = (END_OF_TEXT, UNKNOWN, MESSAGE_START, MESSAGE_END)) -> dict[str, int]:
+    """Ids of special tokens by a tokenizer's file; those that it doesn't have follow behind its vocabulary in the order given."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_json)
+    nxt, out = tok.get_vocab_size(), {}
+    for t in tokens:
+        out[t] = tok.token_to_id(t)
+        if out[t] is None:
+            out[t], nxt = nxt, nxt + 1
+    return out
+
+
+def check_vocabulary(tokenizer_json: str, size: int) -> int:
+    """The size of the vocabulary; an error if a model's ``size`` doesn't agree with it."""
+    from tokenizers import Tokenizer
+
+    n = Tokenizer.from_file(tokenizer_json).get_vocab_size()
+    if n != size:
+        raise ValueError(f"the tokenizer has {n} tokens, the model {size}")
+    return n
+
+
+def round_trip(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_ids``, ``same``: whether decoding the ids of a text gives the text again, but for blanks at its ends. Null texts have no ids."""
+    with open(tokenizer_json, encoding="utf-8") as f:
+        data = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(data.value)
+        tok.encode_special_tokens = True
+        for b in batches:
+            texts = [t or "" for t in b.column("_text").to_pylist()]
+            ids = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+            same = [x.strip() == t.strip() for x, t in zip(tok.decode_batch(ids, skip_special_tokens=False), texts)]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())], [key, "n_ids", "same"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return arrow_map(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), run, f"`{key}` {kind}, n_ids bigint, same boolean")
+
+
 def encode(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", end: int | None = None) -> DataFrame:
     """``key``, ``ids`` by a public tokenizer's file; ``end`` is appended to every text. Null texts have no ids but ``end``.
 

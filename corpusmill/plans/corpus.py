@@ -270,6 +270,19 @@ def chat_render(spark, sf_dir):
     return training.render_chat(turns, generation_prompt=True)
 
 
+def tokenizer_round_trip(spark, sf_dir):
+    """One row: texts, and those that a public tokenizer doesn't give back."""
+    out = training.round_trip(_docs(spark, sf_dir), f"{training.TOKENIZERS}/byte_bpe_50k.json")
+    return out.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~F.col("same")).alias("n_changed"))
+
+
+def encoded_ends(spark, sf_dir):
+    """The last id of every text with the end of text appended."""
+    file = f"{training.TOKENIZERS}/byte_bpe_50k.json"
+    ids = training.encode(_docs(spark, sf_dir), file, end=training.special_ids(file)[training.END_OF_TEXT])
+    return ids.select("doc_id", F.element_at("ids", -1).cast("bigint").alias("last_id"))
+
+
 def data_stages(spark, sf_dir):
     """Two stages of training: rows of the first tenth of the steps, and the rest."""
     rows = training.pack_blocks(_seqs(spark, sf_dir), CONTEXT).select("block")
@@ -285,7 +298,7 @@ def bpe_pair_counts(spark, sf_dir):
 
 
 _LOCAL = [
-    fingerprint_status, match_rows, removal_rule, near_dup_classes, books_by_default, excluded_works, tokenizer_lines, news_issue_sizes, packed_shuffled, data_stages,
+    fingerprint_status, match_rows, removal_rule, near_dup_classes, books_by_default, excluded_works, tokenizer_lines, news_issue_sizes, packed_shuffled, data_stages, tokenizer_round_trip, encoded_ends,
     normalize_text, min_length_filter, word_and_line_counts, exact_dup_groups, simhash_fingerprint, lsh_bands, bucket_histogram, bucket_report, top_buckets, dedup_manifest, near_dup_matches, match_statistics,
     shingle_counts, accepted_matches, accepted_counts, dup_components, keep_longest, dedup_corpus, section_flags, book_sections, book_kept, book_rejected, scan_clean, scan_books, news_clean, news_issues,
     ocr_clean, val_split, split_counts, sampled_documents, packed_blocks, pack_totals, validate_packed, shifted_rows, repeated_rows, training_plan, chat_render, pretoken_counts, bpe_pair_counts,
@@ -456,6 +469,8 @@ SQL = {
 ids AS (SELECT seq_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM seqs),
 numbered AS (SELECT id, row_number() OVER (ORDER BY md5('123:' || seq_id), seq_id, i) - 1 AS p FROM ids)
 SELECT p // {CONTEXT + 1} AS block, md5(array_to_string(list(id ORDER BY p), ',')) AS digest FROM numbered GROUP BY 1 HAVING count(*) = {CONTEXT + 1}""",
+    "tokenizer_round_trip": "SELECT count(*) AS n_docs, 0::BIGINT AS n_changed FROM documents",
+    "encoded_ends": "SELECT doc_id, 50256::BIGINT AS last_id FROM documents",
     "data_stages": f"WITH {_TOTALS}, b AS (SELECT unnest(range(n_blocks)) AS block, n_blocks FROM totals) SELECT block, CASE WHEN block < floor(n_blocks * 0.1::DOUBLE) THEN 0 ELSE 1 END AS stage FROM b",
     "normalize_text": f"WITH {_NORM} SELECT doc_id, norm FROM norm",
     "min_length_filter": f"WITH {_NORM} SELECT doc_id, length(norm) AS chars FROM norm WHERE length(norm) >= 200",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import warnings
 from pathlib import Path
 
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import arrow_map
+from corpusmill.operators.fingerprint import fingerprint
 
 CATALOG = "`Text#` int, Type string, Issued string, Title string, Language string, Authors string, Subjects string, LoCC string, Bookshelves string"
 
@@ -78,10 +81,38 @@ def markup_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(~F.col("_metadata.file_name").startswith("OBC2POS")).select("path", "content")
 
 
+def config(path: str) -> dict:
+    """A run's settings from a JSON file; anything but a mapping is an error."""
+    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return found
+
+
+def saved_prints(spark: SparkSession, root: str, min_chars: int) -> DataFrame | None:
+    """Fingerprints that an earlier run with the same parameter has written below ``root``, or nothing: what to resume from."""
+    path = f"{root}/min_chars={min_chars}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return spark.read.parquet(path)
+
+
+def resumed_prints(spark: SparkSession, root: str, docs: DataFrame, min_chars: int = 200) -> DataFrame:
+    """The fingerprints below ``root``, made and written first if they aren't there. Parameters are part of the path, so a table never stands for other ones."""
+    found = saved_prints(spark, root, min_chars)
+    if found is None:
+        fingerprint(docs, min_chars=min_chars).write.mode("overwrite").parquet(f"{root}/min_chars={min_chars}")
+        found = saved_prints(spark, root, min_chars)
+    return found
+
+
 def packed_rows(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Packed rows, of one split if the table has splits; asking for one that isn't there is an error."""
+    """Packed rows, of one split if the table has splits; asking for one that isn't there is an error, naming one where there are none a warning."""
     rows = spark.read.parquet(path)
     if "split" not in rows.columns:
+        if split is not None:
+            warnings.warn(f"the table has no splits; {split!r} is ignored", stacklevel=2)
         return rows
     if split is None:
         raise ValueError("the table has splits; name one")

@@ -159,6 +159,169 @@ def test_near_duplicates_end_to_end(spark):
     assert left == {3, 4, 5, 6}
 
 
+def _shingles(text, n):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def _variants(rng, n_texts, length):
+    w = [f"word{i}" for i in range(60)]
+    texts = []
+    for _ in range(n_texts):
+        t = rng.choices(w, k=length)
+        texts.append(" ".join(t))
+        for k in (1, 3, 6):
+            u = list(t)
+            for i in rng.sample(range(length), k):
+                u[i] = rng.choice(w)
+            texts.append(" ".join(u + ["and more"] * rng.randint(0, 1)))
+    return texts
+
+
+@pytest.mark.parametrize("how", [{"jaccard": 0.8}, {"containment": 0.9}])
+def test_similar_pairs_equal_brute_force(spark, how):
+    rng = random.Random(21)
+    texts = _variants(rng, 12, 80) + ["a b c d e f g h", "a b c d e f g h i", "a b", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None)], "doc_id bigint, text string")
+    own = neardup.shingles(docs, 5).where(F.size("s") > 0)
+    got = {(r.a, r.b): r.i for r in neardup.similar_pairs(own, Scratch(spark, "t"), **how).collect()}
+    want = {}
+    sets = [_shingles(t, 5) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            i = len(sets[a] & sets[b])
+            whole = len(sets[a] | sets[b]) if "jaccard" in how else min(len(sets[a]), len(sets[b]))
+            if whole and i >= list(how.values())[0] * whole - 1e-9:
+                want[(a, b)] = i
+    assert got == want and len(want) > 10
+
+
+def test_near_duplicate_classes(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, base), (9, base.upper() + "!!"), (7, base + " end"), (3, "short text"), (2, "Short  text"), (1, None), (4, None), (6, ""), (8, " "), (7, base + " end")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, class_id int")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicate_classes(docs, Scratch(spark, "t")).collect()}
+    assert got[3] == got[2] == (2, 0) and got[1] == (1, 0) and got[4] == (4, 0) and got[6] == got[8] == (6, 0)
+    assert got[5][0] == got[7][0] == 5 and got[7][1] == 2 and got[9][0] == 5  # "!!" stays in the normal form, so it is another text
+    assert neardup.near_duplicate_classes(docs.where("false"), Scratch(spark, "t")).collect() == []
+
+
+def test_accepted_pairs_are_those_of_all_scored_candidates(spark):
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(_variants(rng, 15, 150))] + [(900, None)], "doc_id bigint, text string").cache()
+    prints = fingerprint.fingerprint(docs).cache()
+    cols = ["a", "b", "distance", "len_shingles_a", "len_shingles_b", "word_shingle_jaccard"]
+    want = neardup.score_pairs(neardup.candidate_pairs(neardup.representatives(prints)), docs).select(cols).collect()
+    got = neardup.accepted_pairs(prints, docs, Scratch(spark, "t")).select(cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
+    rows = neardup.match_rows(got, prints, ("chars", "sha1")).collect()
+    assert len(rows) == len(want) and rows[0].chars_a > 0 and rows[0].sha1_a != rows[0].sha1_b
+
+
+def test_content_hashes_and_status(spark):
+    docs = spark.createDataFrame([(1, "word " * 60), (2, "WORD " * 60), (3, "short"), (4, None), (5, "")], "doc_id bigint, text string")
+    got = {r.doc_id: r.sha1 for r in fingerprint.content_hashes(docs).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2] == {r.doc_id: r.sha1 for r in fingerprint.fingerprint(docs).collect()}[1]
+    assert {r.status: r.n for r in fingerprint.status_counts(docs).collect()} == {"ok": 2, "too_short": 2, "unreadable": 1}
+
+
+def test_exclusions_stages_and_lines(spark):
+    docs = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "path string, n int")
+    assert sorted(r.n for r in neardup.without_excluded(docs, spark.createDataFrame([("b",), (None,), ("b",)], "path string")).collect()) == [1, 2]
+    stages = {r.block: r.stage for r in training.staged(spark.range(10).withColumnRenamed("id", "block"), [0.25, 0.5, 0.25]).collect()}
+    assert [stages[i] for i in range(10)] == [0, 0, 1, 1, 1, 1, 1, 2, 2, 2]
+    assert one(spark, "a\r\nb\nc\rd", training.without_newlines) == "a b c d"
+
+
+def test_blocks_in_keyed_order(spark):
+    seqs = [(i, [i] * (i % 5), "f") for i in range(60)]
+    df = spark.createDataFrame([*seqs, (None, [1], "f")], "seq_id bigint, input_ids array<int>, file_name string")
+    out = training.pack_blocks(training.in_keyed_order(df, 7), 5).orderBy("block").collect()
+    import hashlib
+
+    flat = [x for i, ids, _ in sorted(seqs, key=lambda s: hashlib.md5(f"7:{s[0]}".encode()).hexdigest()) for x in ids]
+    assert [x for r in out for x in r.input_ids] == flat[: len(flat) // 6 * 6]
+
+
+def test_tokenizer_files(spark):
+    file = f"{training.TOKENIZERS}/byte_bpe_50k.json"
+    pytest.importorskip("tokenizers")
+    docs = spark.createDataFrame([(1, "The house, <|endoftext|> é"), (2, None), (3, "")], "doc_id bigint, text string")
+    end = training.special_ids(file)[training.END_OF_TEXT]
+    got = {r.doc_id: list(r.ids) for r in training.encode(docs, file, end=end).collect()}
+    assert got[2] == got[3] == [50256] and got[1][-1] == 50256 and 50256 not in got[1][:-1]
+    assert all(r.same for r in training.round_trip(docs, file).collect())
+    assert training.special_ids(file)["<unk>"] == 50257 and training.check_vocabulary(file, 50257) == 50257
+    with pytest.raises(ValueError):
+        training.check_vocabulary(file, 32000)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from corpusmill.scratch import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn"))
+    with pytest.raises(RuntimeError):
+        shared_folder(far)
+    s = Scratch(spark, "t")
+    a = s.save(spark.range(3))
+    assert a.count() == 3
+    s.drop(a)
+    with pytest.raises(Exception):
+        spark.read.parquet(a._scratch_path)
+
+
+def test_catalog_markup_and_resumed_files(spark, tmp_path):
+    from corpusmill.sources import readers, writers
+
+    (tmp_path / "c.csv").write_text('Text#,Type,Issued,Title,Language,Authors,Subjects,LoCC,Bookshelves\n1,Text,x,"A ""title""\nin two lines",en,"A, 1770-1850",s,l,b\n')
+    assert readers.catalog(spark, str(tmp_path / "c.csv")).first().Title == 'A "title"\nin two lines'
+    for name in ("b.txt", "a.txt"):
+        (tmp_path / "cache" / "epub" / "12").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "cache" / "epub" / "12" / name).write_text(name)
+    files = readers.text_files(spark, str(tmp_path / "cache"))
+    assert [(r.book_id, r.text) for r in readers.first_files(files).collect()] == [(12, "a.txt")]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "OBC2POS-1.xml").write_text("<p/>")
+    (tmp_path / "x" / "t.xml").write_text("<a><p>One</p></a>")
+    assert [r.path.rpartition("/")[2] for r in readers.markup_files(spark, str(tmp_path / "x")).collect()] == ["t.xml"]
+    df = spark.createDataFrame([(1, 'say "x",\ny', None)], "id int, s string, z string")
+    writers.write_csv(df, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv")).first().s == 'say "x",\ny'
+    writers.write_jsonl(df, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json"), schema=df.schema).first() == df.first()
+    rows = spark.createDataFrame([([1, 2], ["f"])], "input_ids array<bigint>, file_names array<string>")
+    writers.write_packed(rows, str(tmp_path / "packed"))
+    with pytest.warns(UserWarning, match="no splits"):
+        assert readers.packed_rows(spark, str(tmp_path / "packed"), "train").schema["input_ids"].dataType.elementType.simpleString() == "int"
+    with pytest.raises(Exception, match="exist"):
+        writers.write_packed(rows, str(tmp_path / "packed"))
+    docs = spark.createDataFrame([(1, "word " * 60)], "doc_id bigint, text string")
+    assert readers.saved_prints(spark, str(tmp_path / "fp"), 200) is None
+    first = readers.resumed_prints(spark, str(tmp_path / "fp"), docs).first()
+    assert readers.resumed_prints(spark, str(tmp_path / "fp"), docs.where("false")).first() == first and readers.saved_prints(spark, str(tmp_path / "fp"), 100) is None
+    assert readers.parquet_columns(spark, str(tmp_path / "fp" / "min_chars=200"), ["sha1"]).columns == ["sha1"]
+    (tmp_path / "run.json").write_text('{"seed": 1}')
+    assert readers.config(str(tmp_path / "run.json")) == {"seed": 1}
+    (tmp_path / "bad.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        readers.config(str(tmp_path / "bad.json"))
+
+
+def test_issues(spark):
+    s = "one two three four five six seven eight nine"
+    rows = [(i, "i1", 1, 1, 1, 10 - i, "text", f"{s} {i}", None) for i in range(10)] + [(20, "i2", 1, 1, 1, 1, "text", s, None), (21, None, 1, 1, 1, 1, "text", s, None), (22, "i1", 1, 1, 1, 0, "advert", s, None)]
+    df = spark.createDataFrame(rows, "seg_id bigint, issue_id string, page_number int, block_no int, col_no int, reading_order int, seg_class string, content string, loaded_at timestamp")
+    lines = pages.issue_lines(df)
+    sizes = pages.issue_sizes(lines, 5, 20)
+    assert [tuple(r) for r in sizes.collect()] == [("i1", 10, 100)]
+    got = pages.assemble_issues(lines, sizes, 100).first()
+    assert got.text.split("\n") == [f"{s} {i}" for i in range(9, -1, -1)] and pages.assemble_issues(lines, sizes, 9).collect() == []
+    assert one(spark, "x", lambda c: pages.issue_name(c, F.lit(7))) == "x_article-7"
+
+
 def test_split_counts_are_exact(spark):
     rows = [(i, "big" if i < 950 else "small" if i < 990 else None) for i in range(1000)]
     got = training.stratified_split(spark.createDataFrame(rows, "doc_id bigint, source string"), percent=2)
