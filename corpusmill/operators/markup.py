@@ -21,12 +21,19 @@ def _name(e: ET.Element) -> str:
 
 
 def visible_text(e: ET.Element) -> str:
-    """Text of an element and all below it; metadata elements are left out, what follows them is not."""
-    out = [e.text or ""]
-    for child in e:
-        if _name(child) not in METADATA:
-            out.append(visible_text(child))
-        out.append(child.tail or "")
+    """Text of an element and all below it, however deep; metadata elements are left out, what follows them is not."""
+    out: list[str] = []
+    todo: list[tuple[ET.Element, bool]] = [(e, False)]  # an element, and whether it is what follows it that is next
+    while todo:
+        x, behind = todo.pop()
+        if behind:
+            out.append(x.tail or "")
+            continue
+        out.append(x.text or "")
+        for child in reversed(x):
+            todo.append((child, True))
+            if _name(child) not in METADATA:
+                todo.append((child, False))
     return "".join(out)
 
 

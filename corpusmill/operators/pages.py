@@ -17,6 +17,7 @@ def _occurrences(s: Column, piece: str) -> Column:
 
 def scan_line(line: Column) -> Column:
     """A line of a scanned book by the line rules; null if it is to go."""
+    # Runs of marks that leaders and rules are made of.
     letters = F.regexp_replace(line, f"[^{pystr.WORD}]", "")
     gone = pystr.isupper(letters) | (_occurrences(line, "- - -") > 1) | (_occurrences(line, r"\. \. \. \.") > 2)
     halves = F.split(line, r"(?U)\b\d{1,3}\b", 2)
@@ -88,6 +89,7 @@ def keeps_sentence(s: Column, before: Column) -> Column:
     old = F.array_join(F.slice(pystr.words(F.coalesce(before, F.lit(""))), F.lit(1), F.lit(5)), " ")
     unique = F.array_distinct(w)
     mode = F.array_max(F.transform(unique, lambda x: F.size(w) - F.size(F.array_remove(w, x))))
+    # Runs of marks that leaders and rules are made of.
     leaders = s.contains(".......") | s.contains("- - - - - - - - - - - ") | (_occurrences(s, r"\.\.\.") > 2)
     repeated = ((n > 5) & (mode > F.floor(n / 2))) | ((n > 20) & (F.size(unique) < F.floor(n / 5)))
     return ~(leaders | (n < 8) | (start == old) | F.coalesce(repeated, F.lit(False)) | pystr.isupper(s) | ~s.rlike("[A-Za-z]"))

@@ -329,6 +329,25 @@ def test_split_counts_are_exact(spark):
     assert n[("big", "val")] == 19 and n[("small", "val")] == 1 and n[(None, "val")] == 1 and sum(n.values()) == 1000
 
 
+def test_split_of_the_shipped_list(spark):
+    # How many files of each source a split of one percent has.
+    shipped = {"blbooks": 269, "gutenberg": 377, "ncse_v2_revised": 1, "old_bailey": 5, "post-ocr-correction": 310}
+    sizes = {"blbooks": 26950, "gutenberg": 37799, "ncse_v2_revised": 90, "old_bailey": 520, "post-ocr-correction": 31000}
+    parts = [spark.range(n).select(F.format_string(f"{s}-%d", "id").alias("doc_id"), F.lit(s).alias("source")) for s, n in sizes.items()]
+    docs = parts[0]
+    for p in parts[1:]:
+        docs = docs.union(p)
+    n = {r.source: r.n_docs for r in training.split_counts(training.stratified_split(docs)).where("split = 'val'").collect()}
+    assert n == shipped and sum(n.values()) == 962
+
+
+def test_deep_markup_has_no_limit():
+    import xml.etree.ElementTree as ET
+
+    e = ET.fromstring("<p>" + "<a>x" * 5000 + "</a>y" * 5000 + "</p>")
+    assert markup.visible_text(e) == "x" * 5000 + "y" * 5000
+
+
 def test_blocks_are_the_sequence_of_all_ids(spark):
     rng = random.Random(4)
     seqs = [(i, [rng.randint(0, 99) for _ in range(rng.choice([0, 1, 5, 30]))], f"f{i % 3}") for i in range(40)]
