@@ -37,23 +37,26 @@ def staged(rows: DataFrame, shares: list[float], key: str = "block") -> DataFram
     return rows.withColumn("stage", stage)
 
 
-def stratified_split(docs: DataFrame, percent: float = 1, seed: int = 123, key: str = "doc_id", stratum: str = "source", buckets: int = 256) -> DataFrame:
+def stratified_split(docs: DataFrame, percent: float = 1, seed: int = 123, key: str = "doc_id", stratum: str = "source", digits: int = 4) -> DataFrame:
     """Adds ``split``: ``val`` for ``max(1, n * percent / 100)`` rows of each stratum by keyed hash, else ``train``.
 
-    A stratum may hold a third of all rows, so it isn't sorted as a whole: counts of hash buckets tell in which
-    bucket the last row of the share lies, and only rows of one bucket are ranked. A null stratum is one of its own.
+    A stratum may hold a third of all rows, so it isn't sorted as a whole: counts of the hashes' first ``digits`` tell
+    where the last row of the share lies, and only the rows there are ranked, by hash and key alone. All other columns
+    meet one row for each stratum. A null stratum is one of its own, a null key is never ``val``; a repeated key counts twice.
     """
     h = keyed_order(F.col(key), seed)
-    rows = docs.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, 2), 16, 10).cast("int")})
-    sizes = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(stratum)
+    rows = docs.select(F.col(stratum).alias("_s"), F.col(key).alias("_k"), h.alias("_h"), F.substring(h, 1, digits).alias("_b")).where("_h is not null")
+    sizes = rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_s")
     sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(w)})
     sizes = sizes.withColumn("_want", F.greatest(F.lit(1), F.floor(F.col("_all") * percent / 100)))
-    sizes = sizes.select(F.col(stratum).alias("_s"), F.col("_b").alias("_sb"), "_before", "_want")
-    joined = rows.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb")))
-    rank = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key))
-    split = F.when(F.col("_before") + rank <= F.col("_want"), "val").otherwise("train")
-    return joined.withColumn("split", split).drop("_h", "_b", "_s", "_sb", "_before", "_want")
+    border = sizes.where("_before < _want and _before + _n >= _want").select(F.col("_s").alias("_bs"), F.col("_b").alias("_bb"), "_before", "_want")
+    near = rows.join(border, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_b") == F.col("_bb")))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))
+    last = near.withColumn("_rank", rank).where("_before + _rank = _want").select("_s", F.struct("_h", "_k").alias("_last"))
+    joined = docs.withColumn("_h", h).join(last, F.col(stratum).eqNullSafe(F.col("_s")), "left")
+    own = F.struct("_h", F.col(key).alias("_k"))
+    return joined.withColumn("split", F.when(F.col("_h").isNotNull() & (own <= F.col("_last")), "val").otherwise("train")).drop("_h", "_s", "_last")
 
 
 def split_counts(split: DataFrame, stratum: str = "source") -> DataFrame:

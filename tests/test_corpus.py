@@ -327,6 +327,9 @@ def test_split_counts_are_exact(spark):
     got = training.stratified_split(spark.createDataFrame(rows, "doc_id bigint, source string"), percent=2)
     n = {(r.source, r.split): r.n_docs for r in training.split_counts(got).collect()}
     assert n[("big", "val")] == 19 and n[("small", "val")] == 1 and n[(None, "val")] == 1 and sum(n.values()) == 1000
+    few = spark.createDataFrame([*rows, (None, "big")], "doc_id bigint, source string")
+    assert {(r.source, r.split): r.n_docs for r in training.split_counts(training.stratified_split(few, percent=2, digits=1)).collect()} == n | {("big", "train"): n[("big", "train")] + 1}
+    assert training.stratified_split(few.where("false")).collect() == []
 
 
 def test_split_of_the_shipped_list(spark):
