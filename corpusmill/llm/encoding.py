@@ -3,15 +3,17 @@
 For a byte-level BPE every prefix of a piece has one valid last token: the last token of the
 prefix's own encoding. The table of these tokens is filled from left to right; a token that is a
 suffix of the prefix is the valid one if the pair of it and the token before it would not be merged
-differently. An append therefore only extends the table, and after an edit only the table behind
-the edited byte is filled again. A text is cut into pieces by the tokenizer's own pattern, and as
-the ids of a piece don't depend on its surroundings, each distinct piece is encoded once for a worker.
+differently. An append therefore only extends the table; after an edit it is filled again from the
+edited byte until so many entries as the longest token has bytes are the old ones. A text is cut into
+pieces by the tokenizer's own pattern, and as the ids of a piece don't depend on its surroundings, each
+distinct piece is encoded once for a worker, and an edited text is cut anew around the edit only.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ class PrefixEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         self.longest = max(map(len, ranks))
         self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.cache: dict[str, list[int]] = {}
@@ -113,10 +116,49 @@ class PrefixEncoder:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.table_ids(self.extend(data, []))
 
-    def edited(self, old: bytes, last: list[bytes], at: int, new: bytes) -> tuple[bytes, list[bytes]]:
-        """The piece with its bytes from ``at`` on replaced by ``new``, and its table; what lies before is kept."""
-        data = old[:at] + new
-        return data, self.extend(data, last[:at])
+    def edited(self, old: bytes, last: list[bytes], at: int, new: bytes, removed: int | None = None) -> tuple[bytes, list[bytes]]:
+        """The piece with ``removed`` bytes at ``at`` (all that follow, if not said) replaced by ``new``, and its table.
+
+        What lies before is kept. Behind the edit an entry depends on as many bytes and entries before it as the longest
+        token has, so once these are the old ones, all that follow are.
+        """
+        rest = b"" if removed is None else old[at + removed :]
+        data, table, same = old[:at] + new + rest, last[:at], 0
+        shift = len(old) - len(data)
+        for end in range(at + 1, len(data) + 1):
+            self.extend(data[:end], table)
+            behind = end > at + len(new) + self.longest
+            same = same + 1 if behind and table[-1] == last[end - 1 + shift] else 0
+            if same > self.longest:
+                return data, table + last[end + shift :]
+        return data, table
+
+    def text_table(self, text: str, begin: int = 0, stop: set[int] | None = None) -> list[tuple[int, list[int]]]:
+        """(place, ids) of each piece of a text from ``begin`` on, up to the end or to a place in ``stop``."""
+        out = []
+        for m in self.pattern.finditer(text, begin):
+            if stop and m.start() in stop:
+                break
+            out.append((m.start(), self._unit_piece(m[0])))
+        return out
+
+    def edited_text(self, text: str, table: list[tuple[int, list[int]]], start: int, end: int, new: str) -> tuple[str, list[tuple[int, list[int]]]]:
+        """The text with ``start`` to ``end`` replaced, and its table; only pieces around the edit are cut and encoded anew.
+
+        Cutting goes from left to right and looks ahead over white space and one character more. So pieces before the
+        one that the edit touches stand, and from the first old place behind the edit on all old pieces stand again.
+        """
+        k = max(0, bisect_left(table, start, key=lambda x: x[0]) - 1)
+        while k and text[table[k][0] : start].isspace() | (table[k][0] >= start):
+            k -= 1
+        begin = table[k][0] if table else 0
+        fresh, shift = text[:start] + new + text[end:], len(new) - (end - start)
+        later = bisect_left(table, end, key=lambda x: x[0])
+        places = {p + shift: i for i, (p, _) in enumerate(table[later:], later)}
+        middle = self.text_table(fresh, begin, {p for p in places if p >= start + len(new)})
+        at = middle[-1][0] + len(self.pattern.match(fresh, middle[-1][0])[0]) if middle else begin
+        rest = places.get(at, len(table)) if at < len(fresh) else len(table)
+        return fresh, table[:k] + middle + [(p + shift, ids) for p, ids in table[rest:]]
 
     def _unit(self, text: str) -> list[int]:
         got = self.cache.get(text)
@@ -180,3 +222,29 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
 
     kind = df.schema[key].dataType.simpleString()
     return arrow_map(df.selectExpr(f"`{key}`", f"`{text}` as _text"), run, f"`{key}` {kind}, ids array<int>")
+
+
+def edit_check(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """``key``, ``n_kept``, ``n_pieces``, ``same``: each text with words put into its middle and behind its end, encoded around the edits, against encoding it whole.
+
+    ``n_kept`` of ``n_pieces`` pieces are those of the old text. Null texts count as empty.
+    """
+    with open(tokenizer, "rb") as f:
+        data = df.sparkSession.sparkContext.broadcast({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+
+    def run(batches):
+        enc = PrefixEncoder(data.value)
+        for b in batches:
+            kept, pieces, same = [], [], []
+            for t in b.column("_text").to_pylist():
+                old = enc.text_table(t or "")
+                half = len(t or "") // 2
+                one, table = enc.edited_text(t or "", old, half, min(half + 3, len(t or "")), "xy  edited'")
+                two, table = enc.edited_text(one, table, len(one), len(one), " and more")
+                known = {id(ids) for _, ids in old}
+                kept.append(sum(id(ids) in known for _, ids in table)), pieces.append(len(table))
+                same.append([i for _, ids in table for i in ids] == enc.encode(two))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(kept, pa.int64()), pa.array(pieces, pa.int64()), pa.array(same, pa.bool_())], [key, "n_kept", "n_pieces", "same"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return arrow_map(df.selectExpr(f"`{key}`", f"`{text}` as _text"), run, f"`{key}` {kind}, n_kept bigint, n_pieces bigint, same boolean")

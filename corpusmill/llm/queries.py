@@ -129,6 +129,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents that were edited and encoded around the edits, and those whose ids aren't those of the whole text."""
+    return encoding.edit_check(table(spark, sf_dir, "documents")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~F.col("same")).alias("n_different"))
+
+
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -155,7 +160,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = records.QUERIES | {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p5_counts, p5_common_words, p5_held_out, p2_found, p2_shares, p2_adaptive, p8_ids, p9_found, p9_spans, p9_exact, p9_removed, p10_found, p10_restored)}
+QUERIES = records.QUERIES | {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_probability, p5_statistics, p5_counts, p5_common_words, p5_held_out, p2_found, p2_shares, p2_adaptive, p8_ids, p8_edited, p9_found, p9_spans, p9_exact, p9_removed, p10_found, p10_restored)}
 
 def _shares(last: str, key: str) -> str:
     return f"""
@@ -189,6 +194,7 @@ n AS (SELECT lang, count(*) AS docs, sum(count(*)) OVER () AS whole FROM d GROUP
 c AS (SELECT lang, w, count(*) AS k FROM (SELECT lang, unnest(w) AS w FROM d) GROUP BY lang, w)
 SELECT DISTINCT w AS word FROM c JOIN n USING (lang) WHERE k >= docs * 0.4::DOUBLE AND docs >= 0.01::DOUBLE * whole""".replace("\\\\", "\\"),
     "p2_adaptive": f"{_ADAPTIVE} SELECT doc_id, g.language, g.origin, n_words, n_repeated, threshold FROM grouped g JOIN limits l ON l.language = g.language AND l.origin = g.origin WHERE share >= threshold",
+    "p8_edited": "SELECT count(*) AS n_docs, 0::BIGINT AS n_different FROM documents",
     "p9_exact": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text", _DIVIDED)} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("text", _DIVIDED)} AS w FROM eval_items),
 runs AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 19], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS k FROM i))
 SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[k:k + 19], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d)) JOIN runs USING (r)""",

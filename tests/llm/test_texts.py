@@ -41,6 +41,24 @@ def test_appends_and_edits_extend_the_table(enc):
         assert edited == enc.extend(new, [])
 
 
+def test_edits_are_encoded_around_them_only(enc):
+    rng = random.Random(12)
+    for _ in range(60):
+        data = bytes(rng.choice(b"theorydisc-") for _ in range(rng.randint(20, 700)))
+        table = enc.extend(data, [])
+        at, gone = rng.randrange(len(data)), rng.randint(0, 9)
+        new, got = enc.edited(data, table, at, b"-th-" * rng.randint(0, 3), gone)
+        assert new == data[:at] + new[at : len(new) - len(data[at + gone :])] + data[at + gone :] and got == enc.extend(new, [])
+    for _ in range(1500):
+        text = "".join(rng.choice(" \n\tab's\u00e912.T") for _ in range(rng.randint(0, 40)))
+        table = enc.text_table(text)
+        for _ in range(3):
+            a = rng.randint(0, len(text))
+            b = rng.randint(a, min(len(text), a + 6))
+            text, table = enc.edited_text(text, table, a, b, "".join(rng.choice(" \nab'1.") for _ in range(rng.randint(0, 5))))
+            assert table == enc.text_table(text) and [i for _, ids in table for i in ids] == enc.encode(text)
+
+
 def test_encoding_of_a_table(spark):
     df = spark.createDataFrame([(1, "a b", 5), (2, None, 5), (3, "", 5), (1, "a b", 5)], "doc_id bigint, text string, ids int")
     got = sorted((r.doc_id, list(r.ids)) for r in encoding.encode_corpus(df).collect())
