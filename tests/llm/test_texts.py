@@ -1,6 +1,8 @@
 """Text operators against brute force, round trips and held-out accuracy, with odd rows."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from corpusmill.functions.words import words  # noqa: E402
 from corpusmill.llm import encoding, leak, mojibake, quality, repetition, scans  # noqa: E402
 from corpusmill.llm.perceptron import AveragedPerceptron  # noqa: E402
 from corpusmill.llm.trees import BoostedTrees  # noqa: E402
+from corpusmill.scratch import Scratch  # noqa: E402
 
 RANKS = f"{encoding.TOKENIZERS}/byte_bpe_50k.tiktoken"
 
@@ -183,6 +186,71 @@ def test_wrong_decoding_round_trip(spark):
     assert all(got[i].restored in clean for i in range(1000, 1004))
 
 
+def test_rare_characters_of_a_large_table_are_known(spark):
+    # 840,000 trigrams; those of "И…" stand three times, and read as UTF-8 these two are one character.
+    rows = [(i, "é " * 28_000) for i in range(10)] + [(100 + i, "b И… b") for i in range(3)] + [(200, "b Ã© b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.restored for r in mojibake.repair_encoding(df).collect()}
+    assert got == {200: "b é b"}
+
+
+def _plain_margin(texts, errors=0.001):
+    """The margin by one dictionary of all trigrams."""
+    three = Counter(s[i : i + 3] for t in texts for a, b, left, right in mojibake._places(t) for s in [left + t[a:b] + right] for i in range(len(s) - 2))
+    parts = {k: Counter() for k in ("head2", "two", "head1", "one")}
+    for g, n in three.items():
+        for k, x in (("head2", g[:2]), ("two", g[1:]), ("head1", g[1]), ("one", g[2])):
+            parts[k][x] += n
+    total = sum(three.values()) + 1
+
+    def score(t):
+        p = lambda a, b, c: 0.7 * three[a + b + c] / (parts["head2"][a + b] + 1) + 0.25 * parts["two"][b + c] / (parts["head1"][b] + 1) + 0.05 * (parts["one"][c] + 0.01) / (total + 10_000)
+        return sum(math.log(p(*t[i - 2 : i + 1])) for i in range(2, len(t)))
+
+    def gain(left, run, right):
+        found = mojibake.repairs(run) + (tuple(x for x in mojibake.repairs(run + "\xa0") if "\ufffd" not in x) if right[0] in " \n" and run[-1] in "ÃÐГ├√Ă" else ())
+        return max((score(left + x + right) if "\ufffd" not in x else score(left + run + right) + 1e-9 for x in found), default=None)
+
+    gains = {True: [], False: []}
+    for g, n in three.items():
+        if not g[1].isascii():
+            once = [mojibake.garble(g[1], c) for c in mojibake.CODECS]
+            for x in {g[1], *once, *(mojibake.garble(y, c) for y in once for c in mojibake.CODECS)}:
+                best = gain(f" {g[0]}", x, f"{g[2]} ")
+                gains[x == g[1]].append((0.0 if best is None else best - score(f" {g[0]}{x}{g[2]} "), n))
+
+    def quantile(k, q):
+        want, seen = q * sum(n for _, n in gains[k]), 0
+        return next(x for x, n in sorted(gains[k]) if (seen := seen + n) >= want)
+
+    high, low = max(quantile(True, 1 - errors), 0.0), quantile(False, 0.01)
+    return max(0.0, min(high + 1e-6, low) if low > high else (high + low) / 2)
+
+
+def test_margin_of_all_contexts_and_chains(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    often = [f"{a}Ã{b} " * 3 for a in letters[:16] for b in letters[:16]]
+    texts = [*often, *(f"{a}Ã " for a in letters), *(f"{a}à " * 30 for a in letters)]
+    for kept in (texts, texts[:-26], ["x “é” y ½ № Œ", "Œ"], ["plain"]):
+        df = spark.createDataFrame([(t,) for t in kept], "text string")
+        want = _plain_margin(kept) if kept != ["plain"] else 0.0
+        assert mojibake.train(df).margin == pytest.approx(want, rel=1e-9, abs=1e-12)
+    assert _plain_margin(texts) > 0.1
+
+
+def test_repairs_are_the_same_in_blocks_of_any_size(spark):
+    clean = ["Le café était fermé à l’été “très” tôt, £5 — naïve garçon", "Die Straße über Köln, „schön“"] * 20
+    rows = [*enumerate(clean), *((100 + i, mojibake.garble(t, mojibake.CODECS[i % 7])) for i, t in enumerate(clean)), (None, mojibake.garble(clean[0], "cp437")), (None, "lost � and Ã"), (7, "lost � and Ã"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = mojibake.train(df)
+    one, many = (sorted(map(str, mojibake.repair_encoding(df, model=model, per_block=k).collect())) for k in (10**9, 50))
+    assert one == many and len(one) == len(clean) + 3
+    margins = [mojibake._margin(Scratch(spark, "margin"), model.three.withColumnRenamed("n3", "n"), model, 0.001, k) for k in (3, 10**6)]
+    assert margins == [model.margin] * 2
+    none = df.where("text = ''")
+    assert mojibake.repair_encoding(none).collect() == [] and mojibake.repair_encoding(none).dtypes[0] == ("doc_id", "bigint")
+
+
 def test_boosted_trees_and_calibration():
     rng = np.random.RandomState(6)
     x = rng.rand(3000, 4)
