@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,26 @@ class _TokenHash(dict):
 
 
 def simhash64(words: list[list[str]]) -> np.ndarray:
-    """Fingerprints of lists of words: bit set where set token bits are at least half; equal lists give equal bits."""
-    memo = _TokenHash()
-    flat = np.array([memo[w] for ws in words for w in ws], np.uint64)
-    ends = np.cumsum([0] + [len(w) for w in words])
+    """Fingerprints of lists of words: bit set where set token bits are at least half; equal lists give equal bits.
+
+    Bits are added up eight to a machine word, a byte each, over runs of at most 255 words of a text.
+    """
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter(map(_TokenHash().__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
+    ends = np.concatenate([[0], np.cumsum(n)])
     out = np.zeros(len(words), np.uint64)
     weight = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
     for a in range(0, len(words), 256):
         b = min(a + 256, len(words))
-        part = flat[ends[a] : ends[b]]
-        bits = np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64)
-        total = np.vstack([np.zeros((1, 64), np.int64), np.cumsum(bits, 0, np.int64)])
-        at = ends[a : b + 1] - ends[a]
-        ones, n = total[at[1:]] - total[at[:-1]], np.diff(at)[:, None]
-        out[a:b] = ((2 * ones >= n) * weight).sum(1, dtype=np.uint64)
+        ones = np.zeros((b - a, 64), np.int64)
+        if ends[a] < ends[b]:
+            bits = np.unpackbits(flat[ends[a] : ends[b]].astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
+            runs = -(-n[a:b] // 255)
+            first = np.concatenate([[0], np.cumsum(runs)])
+            begin = np.repeat(ends[a:b] - ends[a] - first[:-1] * 255, runs) + np.arange(first[-1]) * 255
+            sums = np.add.reduceat(bits, begin, axis=0).view(np.uint8).reshape(-1, 64)
+            ones[runs > 0] = np.add.reduceat(sums, first[:-1][runs > 0], axis=0, dtype=np.int64)
+        out[a:b] = ((2 * ones >= n[a:b, None]) * weight).sum(1, dtype=np.uint64)
     return out.view(np.int64)
 
 
@@ -112,12 +119,6 @@ def band_values(simhash: Column, bands: int = 4, bits: int = 64) -> Column:
     ])
 
 
-def without_band(simhash: Column, at: int, width: int) -> Column:
-    """The 64 - ``width`` bits outside a band, moved together at the low end."""
-    low = simhash.bitwiseAND(F.lit((1 << at) - 1))
-    return low if at + width == 64 else F.shiftleft(F.shiftrightunsigned(simhash, at + width), at).bitwiseOR(low)
-
-
 def to_hex(simhash: Column) -> Column:
     return F.lower(F.lpad(F.hex(simhash), 16, "0"))
 

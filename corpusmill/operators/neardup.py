@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from corpusmill.functions.arrow import arrow_map
 from corpusmill.functions.words import text_of_window, windows, word_hash
 from corpusmill.operators.components import connected_groups
-from corpusmill.operators.fingerprint import band_values, band_widths, fingerprint, hamming, max_distance, normalize, similarity, without_band
+from corpusmill.operators.fingerprint import band_values, band_widths, fingerprint, hamming, max_distance, normalize, similarity
 from corpusmill.scratch import Scratch
 
+#: Pairs of fingerprints that a task compares, that are compared at once (a processor's cache holds them), and that leave in one batch.
+COMPARED_BY_A_TASK, COMPARED_AT_ONCE, PAIRS_IN_A_BATCH = 20_000_000, 1 << 16, 1 << 18
+
 
 def exact_groups(prints: DataFrame) -> DataFrame:
     """``sha1``, ``rep`` (smallest id), ``n_docs`` of every content."""
@@ -53,29 +56,107 @@ def bucket_report(banded: DataFrame, most: int = 2500) -> DataFrame:
     )
 
 
-def candidate_pairs(prints: DataFrame, threshold: float = 0.85, n_bands: int = 4, max_bucket: int = 2500) -> DataFrame:
-    """``a``, ``b``, ``distance`` of representatives that share a band and are within the distance, each pair once.
+def _cells(prints: DataFrame, n_bands: int, max_bucket: int) -> DataFrame:
+    """``band``, ``band_value``, ``x``, ``y``, ``own``, ``doc_id``, ``simhash``: every bucket in cells, one after another.
 
-    Buckets over ``max_bucket`` are not paired as a whole: their members share a band already, so the
-    distance lies in the bits outside it, and two members within it agree on one of distance + 1 parts
-    of these bits. They are joined on the parts too, which finds the same pairs. Where there are no more
-    such bits than the distance allows, every pair is within it and buckets are paired whole.
+    Buckets over ``max_bucket`` are cut into blocks of about that size. Cell (x, y) has the members of both blocks,
+    so each two members meet in one cell and no task holds a bucket as a whole.
     """
-    most = max_distance(threshold)
     banded = bands(prints, n_bands)
     sizes = bucket_sizes(banded).where("k > 1")
-    live = banded.join(sizes, ["band", "band_value"])
-    parts = F.lit(None).cast("array<bigint>")
-    for i, (at, width) in enumerate(band_widths(n_bands)):
-        if 64 - width > most:
-            parts = F.when(F.col("band") == i, band_values(without_band(F.col("simhash"), at, width), most + 1, 64 - width)).otherwise(parts)
-    values = F.coalesce(F.when(F.col("k") > max_bucket, parts), F.array(F.lit(0).cast("bigint")))
-    keyed = live.select("band", "band_value", F.posexplode(values).alias("part", "part_value"), "doc_id", "simhash")
-    on = ["band", "band_value", "part", "part_value"]
-    left = keyed.select(*on, F.col("doc_id").alias("a"), F.col("simhash").alias("ha"))
-    right = keyed.select(*on, F.col("doc_id").alias("b"), F.col("simhash").alias("hb"))
-    d = hamming(F.col("ha"), F.col("hb"))
-    return left.join(right, on).where((F.col("a") < F.col("b")) & (d <= most)).select("a", "b", d.cast("bigint").alias("distance")).distinct()
+    compared = sizes.agg(F.sum(F.expr("k * (k - 1D) / 2"))).first()[0] or 0
+    # As many partitions as the pairs to compare need; more than 50,000 are too many for a driver to keep track of.
+    n = max(prints.sparkSession.sparkContext.defaultParallelism, min(int(compared // COMPARED_BY_A_TASK), 50_000))
+    blocks = F.ceil(F.col("k") / F.lit(max_bucket)).cast("bigint")
+    owned = banded.join(sizes, ["band", "band_value"]).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), blocks))
+    rows = owned.withColumn("facing", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    rows = rows.select(F.col("band").cast("bigint").alias("band"), "band_value", F.least("own", "facing").alias("x"), F.greatest("own", "facing").alias("y"), "own", "doc_id", "simhash")
+    cell = ["band", "band_value", "x", "y"]
+    return rows.repartition(n, *cell).sortWithinPartitions(*cell, "own", "doc_id")
+
+
+def _read_cells(batches):
+    """The rows of each cell as a matrix of the columns of :func:`_cells`."""
+    rest = np.empty((7, 0), np.int64)
+    for b in batches:
+        t = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns])], 1)
+        at = [0, *(np.flatnonzero((np.diff(t[:4]) != 0).any(0)) + 1)]
+        for i, j in zip(at, at[1:]):
+            yield t[:, i:j]
+        rest = t[:, at[-1] :]
+    yield rest
+
+
+def _compare(cell: np.ndarray, masks: list[np.uint64], most: int):
+    """Pairs of a cell, some rows at a time: ids on the left and on the right, distances, and which are pairs.
+
+    A pair counts in the first band that it shares alone, so no other cell has it again.
+    """
+    band, _, x, y = cell[:4, 0] if cell.size else (0, 0, 0, 0)
+    ids, h = cell[5], cell[6].view(np.uint64)
+    end = len(ids) if x == y else int(np.searchsorted(cell[4], y))
+    i = 0
+    while i < end:
+        start = i if x == y else end
+        j = min(end, i + max(1, COMPARED_AT_ONCE // max(1, len(ids) - start)))
+        differ = h[i:j, None] ^ h[None, start:]
+        distance = np.bitwise_count(differ)
+        pair = distance <= most
+        for mask in masks[:band]:
+            pair &= (differ & mask) != 0
+        if x == y:
+            k = np.arange(j - i)
+            pair[:, : j - i] &= k[:, None] < k
+        yield ids[i:j], ids[start:], distance, pair
+        i = j
+
+
+def _pairs_of(prints: DataFrame, threshold: float, n_bands: int, max_bucket: int, fold, schema: str) -> tuple[DataFrame, DataFrame | None]:
+    """What ``fold`` makes of the pairs of all cells, and as rows the pairs of ids that have several fingerprints, if there are any."""
+    most = max_distance(threshold)
+    prints = prints.select("doc_id", "simhash").where("doc_id is not null and simhash is not null").distinct()
+    masks = [np.uint64(((1 << w) - 1) << at) for at, w in band_widths(n_bands)]
+    several = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    rest = None
+    if not several.isEmpty():
+        on = ["band", "band_value"]
+        one = bands(prints.join(several, "doc_id", "left_semi"), n_bands).select(*on, F.col("doc_id").alias("i"), F.col("simhash").alias("hi"))
+        d = hamming(F.col("hi"), F.col("simhash"))
+        met = one.join(bands(prints, n_bands), on).where((F.col("i") != F.col("doc_id")) & (d <= most))
+        rest = met.select(F.least("i", "doc_id").alias("a"), F.greatest("i", "doc_id").alias("b"), d.cast("bigint").alias("distance")).distinct()
+        prints = prints.join(several, "doc_id", "left_anti")
+
+    def run(batches):
+        yield from fold(_compare(cell, masks, most) for cell in _read_cells(batches))
+
+    return arrow_map(_cells(prints, n_bands, max_bucket), run, schema), rest
+
+
+def candidate_pairs(prints: DataFrame, threshold: float = 0.85, n_bands: int = 4, max_bucket: int = 2500) -> DataFrame:
+    """``a``, ``b``, ``distance`` of representatives that share a band and are within the distance, each pair once.
+
+    Buckets are compared in blocks of ``max_bucket`` and pairs come out of the first band that they share, so they are
+    neither shuffled nor made unique. The pairs grow as the square of the buckets.
+    """
+
+    def fold(cells):
+        kept, n = [], 0
+        for cell in cells:
+            for left, right, distance, pair in cell:
+                per = np.count_nonzero(pair, axis=1)
+                if not (k := int(per.sum())):
+                    continue
+                i, j = np.repeat(left, per), np.broadcast_to(right, pair.shape)[pair]
+                kept.append((np.minimum(i, j), np.maximum(i, j), distance[pair].view(np.int8)))
+                if (n := n + k) >= PAIRS_IN_A_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept)], ["a", "b", "distance"])
+                    kept, n = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept)], ["a", "b", "distance"])
+
+    pairs, rest = _pairs_of(prints, threshold, n_bands, max_bucket, fold, "a bigint, b bigint, distance tinyint")
+    pairs = pairs.withColumn("distance", F.col("distance").cast("bigint"))
+    return pairs if rest is None else pairs.union(rest)
 
 
 def shingles(docs: DataFrame, n: int = 7) -> DataFrame:

@@ -26,6 +26,11 @@ def _saved(spark: SparkSession, sf_dir: str) -> tuple[Scratch, DataFrame]:
     return scratch, scratch.save(_prints(spark, sf_dir))
 
 
+def _saved_representatives(spark: SparkSession, sf_dir: str) -> tuple[Scratch, DataFrame, DataFrame]:
+    scratch, prints = _saved(spark, sf_dir)
+    return scratch, prints, scratch.save(neardup.representatives(prints))
+
+
 def _links(spark: SparkSession, sf_dir: str) -> tuple[Scratch, DataFrame, DataFrame]:
     scratch, prints = _saved(spark, sf_dir)
     return scratch, prints, scratch.save(neardup.accepted_pairs(prints, _docs(spark, sf_dir), scratch))
@@ -81,8 +86,7 @@ def dedup_manifest(spark, sf_dir):
 
 
 def near_dup_matches(spark, sf_dir):
-    _, prints = _saved(spark, sf_dir)
-    return neardup.candidate_pairs(neardup.representatives(prints))
+    return neardup.candidate_pairs(_saved_representatives(spark, sf_dir)[2])
 
 
 def match_statistics(spark, sf_dir):

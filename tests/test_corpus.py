@@ -1,5 +1,6 @@
 """Cleaning rules on literal inputs, fingerprints, packing, split and markup."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -150,6 +151,49 @@ def test_large_buckets_find_pairs_that_differ_in_every_other_part(spark):
         assert sorted(map(tuple, neardup.candidate_pairs(few, 0.3, n_bands, 1).collect())) == sorted(map(tuple, neardup.candidate_pairs(few, 0.3, n_bands).collect()))
 
 
+def _prints(seed, n):
+    """Fingerprints in few buckets, some ids with several of them, repeated rows and a null id; and their pairs by brute force."""
+    rng = random.Random(seed)
+    hs = [rng.getrandbits(64)]
+    while len(hs) < n:
+        h = rng.choice(hs[:20])
+        for _ in range(rng.randint(0, 7)):
+            h ^= 1 << rng.randrange(64)
+        hs.append(h)
+    rows = list(enumerate(hs)) + [(3, hs[9]), (3, hs[11]), (4, hs[4] ^ 1), (5, hs[5])]
+    want = set()
+    for a, x in rows:
+        for b, y in rows:
+            d = (x ^ y).bit_count()
+            if a < b and d <= 9 and any((x ^ y) >> at & 0xFFFF == 0 for at in (0, 16, 32, 48)):
+                want.add((a, b, d))
+    return [(i, h - 2**64 if h >> 63 else h) for i, h in [*rows, (None, hs[0])]], want
+
+
+@pytest.mark.parametrize("max_bucket", [2500, 16])
+def test_candidate_pairs_equal_brute_force(spark, max_bucket):
+    rows, want = _prints(31, 300)
+    got = neardup.candidate_pairs(spark.createDataFrame(rows, "doc_id bigint, simhash bigint"), max_bucket=max_bucket).collect()
+    assert len(got) == len(want) > 1000 and set(map(tuple, got)) == want
+
+
+def test_candidate_pairs_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, 0) for i in range(9)], "doc_id bigint, simhash bigint")
+    for prints in (df, df.where("false")):
+        pairs = neardup.candidate_pairs(prints)
+        assert pairs.count() == len(set(map(tuple, pairs.collect()))) == (36 if prints is df else 0)
+        above = pairs._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        assert "Aggregate" not in above and "Join" not in above
+
+
+def test_simhash_of_long_texts(spark):
+    rng = random.Random(8)
+    lists = [[rng.choice("abc") for _ in range(n)] for n in (0, 1, 254, 255, 256, 510, 511, 0, 3000)]
+    for ws, h in zip(lists, fingerprint.simhash64(lists)):
+        each = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in ws]
+        assert int(h) % 2**64 == sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in each) >= len(ws))
+
+
 def test_near_duplicates_end_to_end(spark):
     rng = random.Random(3)
     w = [f"word{i}" for i in range(400)]
