@@ -136,7 +136,8 @@ def candidate_pairs(prints: DataFrame, threshold: float = 0.85, n_bands: int = 4
     """``a``, ``b``, ``distance`` of representatives that share a band and are within the distance, each pair once.
 
     Buckets are compared in blocks of ``max_bucket`` and pairs come out of the first band that they share, so they are
-    neither shuffled nor made unique. The pairs grow as the square of the buckets.
+    neither shuffled nor made unique. The pairs grow as the square of the buckets;
+    to count them there is :func:`pair_degrees`.
     """
 
     def fold(cells):
@@ -159,6 +160,35 @@ def candidate_pairs(prints: DataFrame, threshold: float = 0.85, n_bands: int = 4
     return pairs if rest is None else pairs.union(rest)
 
 
+def pair_degrees(prints: DataFrame, threshold: float = 0.85, n_bands: int = 4, max_bucket: int = 2500, near: int = 6) -> DataFrame:
+    """``doc_id``, ``n_pairs``, ``n_near``, ``least`` of every document that :func:`candidate_pairs` has a pair of, without its rows.
+
+    Each pair counts at one of its documents alone, so the sums over all documents are the pairs and those within the
+    distance ``near``; ``least`` is the least distance of the pairs counted there, null where there are none.
+    """
+
+    def fold(cells):
+        for cell in cells:
+            for left, right, distance, pair in cell:
+                per, met = np.count_nonzero(pair, axis=1), pair.any(0)
+                if not met.any():
+                    continue
+                close = np.count_nonzero(pair & (distance <= near), axis=1)
+                least = np.where(pair, distance, np.uint8(255)).min(1)
+                own = per > 0
+                none = np.zeros(int(met.sum()), np.int64)
+                ids, n, k = np.concatenate([left[own], right[met]]), np.concatenate([per[own], none]), np.concatenate([close[own], none])
+                low = np.concatenate([least[own].astype(np.int64), none])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(k), pa.array(low, mask=n == 0)], ["doc_id", "n_pairs", "n_near", "least"])
+
+    found, rest = _pairs_of(prints, threshold, n_bands, max_bucket, fold, "doc_id bigint, n_pairs bigint, n_near bigint, least bigint")
+    if rest is not None:
+        d = F.col("distance")
+        found = found.union(rest.select("a", F.lit(1).cast("bigint"), (d <= near).cast("bigint"), d))
+        found = found.union(rest.select("b", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(None).cast("bigint")))
+    return found.groupBy("doc_id").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_near").alias("n_near"), F.min("least").alias("least"))
+
+
 def shingles(docs: DataFrame, n: int = 7) -> DataFrame:
     """``doc_id``, ``s``: hashes of the distinct runs of ``n`` words of the normal form; empty if there are fewer words, or none."""
     norm = docs.select("doc_id", normalize(F.col("text")).alias("_norm"))

@@ -90,10 +90,9 @@ def near_dup_matches(spark, sf_dir):
 
 
 def match_statistics(spark, sf_dir):
-    pairs = near_dup_matches(spark, sf_dir)
-    both = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    near = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("distance") <= 6).alias("n_near"), F.min("distance").alias("least"))
-    return near.crossJoin(both.agg(F.count(F.lit(1)).alias("n_docs")))
+    degrees = neardup.pair_degrees(_saved_representatives(spark, sf_dir)[2])
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_pairs", "n_near")]
+    return degrees.agg(*total, F.min("least").alias("least"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def shingle_counts(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import pystr
 from corpusmill.operators import books, fingerprint, markup, neardup, pages, training
+from corpusmill.plans import corpus
 from corpusmill.scratch import Scratch
 
 
@@ -177,6 +178,24 @@ def test_candidate_pairs_equal_brute_force(spark, max_bucket):
     assert len(got) == len(want) > 1000 and set(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("max_bucket", [2500, 16])
+def test_pair_degrees_count_the_pairs(spark, max_bucket):
+    rows, want = _prints(32, 300)
+    df = spark.createDataFrame(rows, "doc_id bigint, simhash bigint")
+    got = neardup.pair_degrees(df, max_bucket=max_bucket, near=4).collect()
+    assert sorted(r.doc_id for r in got) == sorted({i for p in want for i in p[:2]})
+    assert (sum(r.n_pairs for r in got), sum(r.n_near for r in got)) == (len(want), sum(d <= 4 for *_, d in want))
+    assert min(r.least for r in got if r.n_pairs) == min(d for *_, d in want) and all(r.least is None for r in got if not r.n_pairs)
+    assert neardup.pair_degrees(df.where("false")).collect() == []
+
+
+def test_match_statistics_make_no_pairs(spark, tmp_path):
+    spark.createDataFrame([(i, f"{'word ' * 60}{i}") for i in range(8)] + [(9, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus.match_statistics(spark, str(tmp_path))
+    assert got.first().n_docs == 8 and got.first().n_pairs == corpus.near_dup_matches(spark, str(tmp_path)).count() == 28
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
 def test_candidate_pairs_are_not_shuffled(spark):
     df = spark.createDataFrame([(i, 0) for i in range(9)], "doc_id bigint, simhash bigint")
     for prints in (df, df.where("false")):
