@@ -7,6 +7,7 @@ one class; pairs are between representatives and classes come back with the memb
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -195,18 +196,17 @@ def shingles(docs: DataFrame, n: int = 7) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            flat: list[int] = []
-            ends = [0]
-            for t in b.column("_norm").to_pylist():
-                if t:
-                    flat.extend(map(word_hash, t.split(" ")))
-                ends.append(len(flat))
-            at = np.array(ends, np.int64)
-            w = windows(np.array(flat, np.uint64), n)
+            words = [t.split(" ") if t else [] for t in b.column("_norm").to_pylist()]
+            at = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+            w = windows(np.fromiter(map(word_hash, chain.from_iterable(words)), np.uint64, int(at[-1])), n)
             text, inside = text_of_window(at, n)
-            both = np.unique(np.stack([text[inside], w[inside].view(np.int64)], 1), axis=0) if inside.any() else np.empty((0, 2), np.int64)
-            starts = np.searchsorted(both[:, 0], np.arange(len(at)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(both[:, 1]))], ["doc_id", "s"])
+            text, w = text[inside], w[inside].view(np.int64)
+            order = np.lexsort((w, text))
+            text, w = text[order], w[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (np.diff(text) != 0) | (w[1:] != w[:-1])
+            starts = np.searchsorted(text[new], np.arange(len(at)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(w[new]))], ["doc_id", "s"])
 
     return arrow_map(norm, run, "doc_id bigint, s array<bigint>")
 
@@ -215,13 +215,15 @@ def ranked_shingles(own: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id``, ``n``, ``t``, ``rank`` of the shingles that more than one document has, the rarest first.
 
     Shingles of one document alone rank before all others; there is no need to keep or join them, only their number
-    counts. ``own`` has one row for each document, so ranks are taken within one text.
+    counts. ``own`` has one row for each document, so ranks are taken within one text. ``t`` is a shingle's low 40 bits,
+    so that one shuffle of all shingles, where they are counted, takes little disk; two that agree in them count as one
+    frequent shingle, which makes more candidates and loses none.
     """
-    flat = own.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("t"))
-    common = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    flat = own.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("t")).withColumn("t", F.col("t").bitwiseAND(F.lit((1 << 40) - 1)))
+    common = flat.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1")
     w = Window.partitionBy("doc_id")
     rank = F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("df", "t"))
-    return scratch.save(flat.join(common, "t").select("doc_id", "n", "t", rank.alias("rank")))
+    return scratch.save(common.select("doc_id", "n", "t", rank.alias("rank")))
 
 
 def similar_pairs(own: DataFrame, scratch: Scratch, jaccard: float | None = None, containment: float | None = None, extra: DataFrame | None = None, condition: Column | None = None) -> DataFrame:
@@ -275,6 +277,13 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, n: int = 5, jaccar
     return copies.join(named, "sha1").select("doc_id", F.coalesce("group_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+def _shingled(prints: DataFrame, docs: DataFrame, scratch: Scratch, n: int, min_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The representatives, and the shingles of those that have enough of them."""
+    reps = scratch.save(representatives(prints))
+    own = shingles(docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), n)
+    return reps, scratch.save(own.where(F.size("s") >= min_shingles))
+
+
 def accepted_pairs(
     prints: DataFrame, docs: DataFrame, scratch: Scratch, min_similarity: float = 0.9, n: int = 7, min_shingles: int = 10, jaccard: float = 0.9, containment: float = 0.95, n_bands: int = 4
 ) -> DataFrame:
@@ -283,8 +292,26 @@ def accepted_pairs(
     Either rule means that a part of the smaller text's shingles is in the other one, so an exact shingle join finds
     the pairs; fingerprints within the distance and with a band in common are a condition of the join.
     """
-    reps = scratch.save(representatives(prints))
-    own = scratch.save(shingles(docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), n).where(F.size("s") >= min_shingles))
+    reps, own = _shingled(prints, docs, scratch, n, min_shingles)
+    return _accepted_pairs(reps, own, scratch, min_similarity, jaccard, containment, n_bands)
+
+
+def acceptance_counts(
+    prints: DataFrame, docs: DataFrame, scratch: Scratch, min_similarity: float = 0.9, n: int = 7, min_shingles: int = 10, jaccard: float = 0.9, containment: float = 0.95, n_bands: int = 4
+) -> DataFrame:
+    """One row: the pairs that :func:`score_pairs` scores, and those that each mode accepts.
+
+    Scored are all candidates that are similar enough and have enough shingles, which need no listing to be counted;
+    what a mode accepts is among the :func:`accepted_pairs`.
+    """
+    reps, own = _shingled(prints, docs, scratch, n, min_shingles)
+    scored = pair_degrees(reps.join(own.select("doc_id"), "doc_id", "left_semi"), min_similarity, n_bands)
+    taken = _accepted_pairs(reps, own, scratch, min_similarity, jaccard, containment, n_bands)
+    modes = [F.count_if(accepted(m, jaccard, containment)).alias(f"n_{m}") for m in ("jaccard", "containment", "both", "either")]
+    return scored.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_scored")).crossJoin(taken.agg(*modes))
+
+
+def _accepted_pairs(reps: DataFrame, own: DataFrame, scratch: Scratch, min_similarity: float, jaccard: float, containment: float, n_bands: int) -> DataFrame:
     d = hamming(F.col("l.simhash"), F.col("r.simhash"))
     x = F.col("l.simhash").bitwiseXOR(F.col("r.simhash"))
     shared = [F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) == 0 for at, w in band_widths(n_bands)]

@@ -125,8 +125,7 @@ def near_dup_classes(spark, sf_dir):
 def accepted_counts(spark, sf_dir):
     """How many pairs each acceptance mode takes."""
     scratch, prints = _saved(spark, sf_dir)
-    scored = neardup.score_pairs(scratch.save(neardup.candidate_pairs(neardup.representatives(prints))), _docs(spark, sf_dir), mode="either", jaccard=0.0, containment=0.0)
-    return scored.agg(F.count(F.lit(1)).alias("n_scored"), *[F.count_if(neardup.accepted(m, 0.9, 0.95)).alias(f"n_{m}") for m in ("jaccard", "containment", "both", "either")])
+    return neardup.acceptance_counts(prints, _docs(spark, sf_dir), scratch)
 
 
 def dup_components(spark, sf_dir):

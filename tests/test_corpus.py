@@ -281,6 +281,21 @@ def test_accepted_pairs_are_those_of_all_scored_candidates(spark):
     assert len(rows) == len(want) and rows[0].chars_a > 0 and rows[0].sha1_a != rows[0].sha1_b
 
 
+def test_accepted_counts_score_no_pairs(spark, tmp_path):
+    rng = random.Random(23)
+    texts = _variants(rng, 12, 150) + ["a " * 150, "b " * 150, " ".join("cdefg" * 30)]
+    few = ["x" * 250 + f" {i}" for i in range(3)]  # fewer than ten shingles
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:2], *few])] + [(900, None)], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    prints = fingerprint.fingerprint(docs)
+    scored = neardup.score_pairs(neardup.candidate_pairs(neardup.representatives(prints)), docs, jaccard=0.0, containment=0.0)
+    modes = ("jaccard", "containment", "both", "either")
+    want = scored.agg(F.count(F.lit(1)), *[F.count_if(neardup.accepted(m, 0.9, 0.95)) for m in modes]).first()
+    got = corpus.accepted_counts(spark, str(tmp_path))
+    assert tuple(got.first()) == tuple(want) and got.columns == ["n_scored", *(f"n_{m}" for m in modes)]
+    assert want[0] > want[4] > want[3] >= 0 and "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
 def test_content_hashes_and_status(spark):
     docs = spark.createDataFrame([(1, "word " * 60), (2, "WORD " * 60), (3, "short"), (4, None), (5, "")], "doc_id bigint, text string")
     got = {r.doc_id: r.sha1 for r in fingerprint.content_hashes(docs).collect()}
